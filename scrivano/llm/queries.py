@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_schema, es_mixing, golomb_dedup, token_orc
+from . import chat_schema, es_mixing, golomb_dedup, quality_fm, simhash_vp, token_orc, toxicity_automata
 from .common import materialize, table
+from .labelled import remainder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -57,3 +58,24 @@ def op10_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
     return chat_schema.digest(chat_schema.parse(materialize(chat_schema.format_rows(turns), "chats")))
+
+
+@query()
+def op1_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_fm.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    out = quality_fm.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op3_automata_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_automata.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    out = toxicity_automata.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op5_vp_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.simhash_components(table(spark, sf_dir, "documents"), bits=4, words=4)
