@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_schema, es_mixing, golomb_dedup, quality_fm, simhash_vp, token_orc, toxicity_automata
+from . import chat_schema, es_mixing, golomb_dedup, pst_lm, quality_fm, simhash_vp, token_orc, toxicity_automata
 from .common import materialize, table
 from .labelled import remainder
 
@@ -79,3 +79,8 @@ def op3_automata_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_vp_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.simhash_components(table(spark, sf_dir, "documents"), bits=4, words=4)
+
+
+@query()
+def op2_pst_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst_lm.pst_scores(table(spark, sf_dir, "documents"))

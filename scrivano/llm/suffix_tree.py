@@ -1,0 +1,145 @@
+"""Probabilistic suffix trees over streams of 64-bit symbols, with numpy.
+
+A stream is cut in segments; a context is the last 1..depth symbols inside the segment. A (context, next) pair is a candidate
+if parts of the data in which its share is at least `rate` give it a share of rate / 2 in all, so there are at most
+2 (depth + 1) / rate candidates whatever the size of the data. Candidates are then counted exactly, over all data. A context
+stays as a state if what its next symbols say beyond those of its longest suffix state passes a likelihood-ratio test. The
+distribution of a state is discounted and the rest goes to its suffix state, down to the base distribution.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+DISCOUNT, BELOW = 0.5, 6.0  # taken from each pair; added to a state's count for its suffix state
+
+
+def mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (h ^ (x * _A)) * _B
+        z ^= z >> np.uint64(29)
+        z *= _A
+        return z ^ (z >> np.uint64(32))
+
+
+def pairs(symbols: np.ndarray, place: np.ndarray, first: int, depth: int):
+    """For each k: k, positions, contexts, keys of (context, symbol); place is the position in its segment, 0 a mark of its
+    beginning that is not predicted."""
+    at = np.flatnonzero(place > 0)
+    ctx = np.full(len(at), 12345, np.uint64)
+    for k in range(depth + 1):
+        if k:
+            ok = place[at] >= k
+            at, ctx = at[ok], mix(ctx[ok], symbols[at[ok] - k] + np.uint64(k))
+        if k >= first:
+            yield k, at, ctx, mix(ctx + np.uint64(99), symbols[at])
+
+
+def candidates(symbols: np.ndarray, place: np.ndarray, first: int, depth: int, rate: float):
+    """k, keys, counts of the pairs that are frequent here."""
+    least = max(4, rate * np.count_nonzero(place > 0))
+    for k, _, _, key in pairs(symbols, place, first, depth):
+        keys, n = np.unique(key, return_counts=True)
+        ok = n >= least
+        yield k, keys[ok], n[ok]
+
+
+def member(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in the sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def count(symbols: np.ndarray, place: np.ndarray, first: int, depth: int, known: np.ndarray):
+    """Rows (k, key, context, parent key, parent context, count of the pair) of the candidates here."""
+    before = None
+    for k, at, ctx, key in pairs(symbols, place, max(0, first - 1), depth):
+        if k >= first:
+            _, ok = member(key, known)
+            keys, one, n = np.unique(key[ok], return_index=True, return_counts=True)
+            row = np.flatnonzero(ok)[one]
+            if before is None:
+                up_key = up_ctx = np.zeros(len(keys), np.uint64)
+            else:
+                there = np.searchsorted(before[0], at[row])
+                up_ctx, up_key = before[1][there], before[2][there]
+            yield k, keys, ctx[row], up_key, up_ctx, n
+        before = (at, ctx, key)
+
+
+def totals(symbols: np.ndarray, place: np.ndarray, first: int, depth: int, contexts: np.ndarray):
+    """(k, context, occurrences) of known contexts."""
+    for k, _, ctx, _ in pairs(symbols, place, first, depth):
+        at, ok = member(ctx, contexts)
+        n = np.bincount(at[ok], minlength=max(1, len(contexts)))
+        hit = np.flatnonzero(n)
+        yield k, contexts[hit], n[hit]
+
+
+@dataclass
+class Tree:
+    """Sorted keys with their values: pairs with discounted probabilities, states with the weight of their suffix."""
+
+    first: int
+    depth: int
+    keys: np.ndarray
+    p: np.ndarray
+    states: np.ndarray
+    rest: np.ndarray
+
+    def probabilities(self, symbols: np.ndarray, place: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Of every symbol given its longest suffix states; base: what is below them."""
+        out = base.astype(np.float64).copy()
+        for _, at, ctx, key in pairs(symbols, place, self.first, self.depth):
+            s, state = member(ctx, self.states)
+            if not state.any():
+                continue
+            own = at[state]
+            j, hit = member(key[state], self.keys)
+            out[own] = self.rest[s[state]] * out[own] + np.where(hit, self.p[j] if len(self.p) else 0.0, 0.0)
+        return out
+
+
+def build(first: int, depth: int, rows: dict[str, np.ndarray], contexts: dict[str, np.ndarray]) -> Tree:
+    """rows: k, key, ctx, up_key, up_ctx, n; contexts: ctx, n. The shortest contexts are states without a test."""
+    order = np.argsort(contexts["ctx"])
+    all_ctx, all_n = contexts["ctx"][order], contexts["n"][order].astype(np.float64)
+    kept_key, kept_p = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    states, rest = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    up_keys, up_share = np.zeros(0, np.uint64), np.zeros(0)
+    for k in range(first, depth + 1):
+        own = np.flatnonzero(rows["k"] == k)
+        at, ok = member(rows["ctx"][own], all_ctx)
+        own, at = own[ok], at[ok]
+        if not len(own):
+            break
+        n, total = rows["n"][own].astype(np.float64), all_n[at]
+        p = n / total
+        j, hit = member(rows["up_key"][own], up_keys)
+        parent = np.where(hit, up_share[j] if len(up_share) else 0.0, 1e-9)
+        kinds, where = np.unique(rows["ctx"][own], return_inverse=True)
+        gain = 2 * np.bincount(where, n * np.log(p / np.maximum(parent, 1e-12)), len(kinds))
+        seen = np.bincount(where, p, len(kinds))
+        count_all = np.bincount(where, total, len(kinds)) / np.maximum(1, np.bincount(where, minlength=len(kinds)))
+        gain += 2 * count_all * (1 - seen).clip(1e-12) * np.log((1 - seen).clip(1e-12) / (1 - np.bincount(where, parent, len(kinds))).clip(1e-12))
+        keep = (gain > 3.84 * np.bincount(where, minlength=len(kinds)) + 10) | (k == first)
+        chosen = keep[where]
+        q = (n - DISCOUNT) / (total + BELOW)
+        order = np.argsort(rows["key"][own[chosen]])
+        keys, values = rows["key"][own[chosen]][order], q[chosen][order]
+        mass = np.bincount(where, q, len(kinds))
+        kept_key.append(keys)
+        kept_p.append(values)
+        states.append(kinds[keep])
+        rest.append(1 - mass[keep])
+        # what the next level is tested against: the state itself, or its suffix where it is none
+        level = np.argsort(rows["key"][own])
+        up_keys, up_share = rows["key"][own][level], np.where(chosen, p, parent)[level]
+    key, p, state, r = (np.concatenate(x) for x in (kept_key, kept_p, states, rest))
+    a, b = np.argsort(key), np.argsort(state)
+    return Tree(first, depth, key[a], p[a], state[b], r[b])
