@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_schema, decontam_sw, es_mixing, golomb_dedup, pst_lm, quality_fm, simhash_vp, token_orc, toxicity_automata
+from . import chat_schema, compact_windows, decontam_sw, es_mixing, golomb_dedup, pst_lm, quality_fm, simhash_vp, token_orc, toxicity_automata
 from .common import materialize, table
 from .labelled import remainder
 
@@ -89,3 +89,8 @@ def op2_pst_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_sw_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_sw.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
