@@ -87,6 +87,13 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("selected") & (F.col("size") > 0)).alias("selected"), taken.cast("long").alias("taken"), *keep)
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it: once an epoch, and once more if selected."""
+    taken = mix(docs.withColumn("row__", F.struct(*docs.columns)), keep=("row__",), **options)
+    times = (F.col("epochs") + F.col("selected").cast("long")).cast("int")
+    return taken.select(F.explode(F.array_repeat("row__", times)).alias("r")).select("r.*")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -29,29 +29,43 @@ from .components import components
 BLOCKS, SPACE_BITS = 4, 16
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> bytes:
-    """8 bytes, most significant first: a bit is set if it is set in over half of the shingles' XXH64."""
+def fingerprints(text: bytes, words: int = 4, seed: int = 42, second: bool = False) -> list[bytes]:
+    """8 bytes, most significant first: a bit is set if it is set in over half of the shingles' XXH64. With second, also one of
+    the hashes mixed anew."""
     w = text.lower().split()
     if not w:
-        return bytes(8)
+        return [bytes(8)] * (1 + second)
     s = b" ".join(w)
-    if len(w) <= words:
-        return xxhash.xxh64_digest(s, seed)
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-    starts = np.append(0, ends[:-words]).tolist()
     digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(s[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]), np.uint8).reshape(-1, 8)
+    if len(w) <= words:
+        h = np.frombuffer(digest(s, seed), ">u8")
+    else:
+        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+        starts = np.append(0, ends[:-words]).tolist()
+        h = np.frombuffer(b"".join([digest(s[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]), ">u8")
+    return [_majority(h), _majority(_mixed(h.astype(np.uint64)).astype(">u8"))] if second else [_majority(h)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(29))
+
+
+def _majority(h: np.ndarray) -> bytes:
+    rows = h.view(np.uint8).reshape(-1, 8)
     count = np.zeros(64, np.int64)
-    for k in range(0, len(h), 255):
-        count += np.add.reduce(np.unpackbits(h[k : k + 255], axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(count * 2 > len(h)).tobytes()
+    for k in range(0, len(rows), 255):
+        count += np.add.reduce(np.unpackbits(rows[k : k + 255], axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(count * 2 > len(rows)).tobytes()
 
 
-def _fingerprinter(words: int):
+def _fingerprinter(words: int, second: bool):
     def run(batches):
         for batch in batches:
-            prints = b"".join([fingerprint(t, words) for t in utf8(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(prints, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            prints = [fingerprints(t, words, second=second) for t in utf8(batch.column("text"))]
+            cols = [pa.array(np.frombuffer(b"".join([p[k] for p in prints]), ">i8").astype(np.int64)) for k in range(1 + second)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), cols[0], cols[-1]], ["doc_id", "key", "fp", "check"])
 
     return run
 
@@ -90,77 +104,120 @@ def _dealer(levels: int, radius: int):
             cache[levels, radius] = vp_tree(levels, radius)
         home, visits, off = cache[levels, radius]
         for batch in batches:
-            fp = batch.column(0).to_numpy()
+            fp = batch.column("fp").to_numpy()
             for b in range(BLOCKS):
                 value = (fp.view(np.uint64) >> np.uint64(16 * b)).astype(np.uint16).astype(np.int64)
                 n = off[value + 1] - off[value]
                 at = np.repeat(off[value] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
                 leaf = np.concatenate([home[value], visits[at]])
-                yield pa.RecordBatch.from_arrays([pa.array((b << levels) | leaf.astype(np.int32), pa.int32()), pa.array(np.concatenate([fp, np.repeat(fp, n)])), pa.array(np.arange(len(leaf)) < len(fp))], ["shard", "fp", "home"])
+                cols = [pa.array(np.concatenate([x, np.repeat(x, n)])) for x in (batch.column(c).to_numpy() for c in ("node", "fp", "check"))]
+                yield pa.RecordBatch.from_arrays([pa.array((b << levels) | leaf.astype(np.int32), pa.int32()), *cols, pa.array(np.arange(len(leaf)) < len(fp))], ["shard", "node", "fp", "check", "home"])
 
     return deal
 
 
-def leaf_links(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links that a home has: every pair within bits, one of them at home, ends up connected."""
-    x = fp.view(np.uint64)
+def leaf_links(fp: np.ndarray, home: np.ndarray, bits: int, check: np.ndarray | None = None, check_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places that link, as a spanning forest: every pair within bits, one of it at home, ends up connected."""
+    x, y = fp.view(np.uint64), None if check is None else check.view(np.uint64)
+
+    def near(rows, cols):
+        out = np.bitwise_count(x[rows] ^ x[cols]) <= bits
+        return out if y is None else out & (np.bitwise_count(y[rows] ^ y[cols]) <= check_bits)
+
     own = np.flatnonzero(home)
+    every = np.arange(len(x))
     linked = np.zeros(len(x), bool)
     step = max(1, 2_000_000 // max(1, len(x)))
     for k in range(0, len(own), step):
-        near = np.bitwise_count(x[own[k : k + step], None] ^ x[None, :]) <= bits
-        hit = np.count_nonzero(near, axis=1) > 1  # each is near itself
-        linked[own[k : k + step][hit]] = True
-        linked |= near[hit].any(axis=0)
+        rows = own[k : k + step]
+        close = near(rows[:, None], every[None, :])
+        hit = np.count_nonzero(close, axis=1) > 1  # each is near itself
+        linked[rows[hit]] = True
+        linked |= close[hit].any(axis=0)
     left = np.flatnonzero(linked)
     us, vs = [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             c = queue.pop()
-            near = np.bitwise_count(x[left] ^ x[c]) <= bits
-            if near.any():
-                found = left[near]
-                us.append(np.full(len(found), fp[c]))
-                vs.append(fp[found])
+            close = near(left, c)
+            if close.any():
+                found = left[close]
+                us.append(np.full(len(found), c))
+                vs.append(found)
                 queue += found.tolist()
-                left = left[~near]
-    return (np.concatenate(us), np.concatenate(vs)) if us else (fp[:0], fp[:0])
+                left = left[~close]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (own[:0], own[:0])
 
 
-def _linker(bits: int):
+def _linker(bits: int, check_bits: int | None):
     def link(t: pa.Table) -> pa.Table:
-        fp, home = t.column("fp").to_numpy(), t.column("home").to_numpy()
-        order = np.lexsort((~home, fp))  # a fingerprint once, at home if it is
-        fp, home = fp[order], home[order]
-        first = np.append(True, fp[1:] != fp[:-1])
-        u, v = leaf_links(fp[first], home[first], bits)
-        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+        node, fp, check, home = (t.column(c).to_numpy() for c in ("node", "fp", "check", "home"))
+        order = np.lexsort((~home, node))  # a node once, at home if it is
+        node, fp, check, home = node[order], fp[order], check[order], home[order]
+        first = np.append(True, node[1:] != node[:-1])
+        node = node[first]
+        u, v = leaf_links(fp[first], home[first], bits, None if check_bits is None else check[first], check_bits or 64)
+        return pa.table({"u": pa.array(node[u]), "v": pa.array(node[v])})
 
     return link
 
 
-def links(prints: DataFrame, bits: int, rows: int, leaf_rows: int = 20000) -> DataFrame:
-    """prints: distinct fp. u, v: links that connect whatever is within bits."""
+def links(prints: DataFrame, bits: int, rows: int, check_bits: int | None = None, leaf_rows: int = 20000) -> DataFrame:
+    """prints: node, fp, check, distinct. u, v: nodes; links that connect whatever is within bits in fp and within check_bits
+    in check."""
     levels = int(np.clip(np.ceil(np.log2(max(1, rows) / 512)), 2, 14))
-    dealt = prints.select("fp").mapInArrow(_dealer(levels, bits // BLOCKS), "shard int, fp long, home boolean")
+    dealt = prints.select("node", "fp", "check").mapInArrow(_dealer(levels, bits // BLOCKS), "shard int, node long, fp long, check long, home boolean")
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("g")).filter("g > 1")
     dealt = dealt.join(F.broadcast(sizes), "shard", "left")  # at most 4 * 2^14 shards
-    chunk = F.pmod(F.xxhash64("fp"), F.col("g"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("g"))
     pairs = F.when(F.col("g").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda k: F.struct(F.least(chunk, k).alias("a"), F.greatest(chunk, k).alias("b"))))
-    dealt = dealt.select("shard", "fp", "home", F.explode(pairs).alias("p")).select("shard", "fp", "home", "p.a", "p.b")
-    return dealt.groupBy("shard", "a", "b").applyInArrow(_linker(bits), "u long, v long")
+    dealt = dealt.select("shard", "node", "fp", "check", "home", F.explode(pairs).alias("p")).select("shard", "node", "fp", "check", "home", "p.a", "p.b")
+    return dealt.groupBy("shard", "a", "b").applyInArrow(_linker(bits, check_bits), "u long, v long")
+
+
+def _rows(docs: DataFrame, words: int, second: bool, id_col: str, text_col: str) -> DataFrame:
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return materialize(src.mapInArrow(_fingerprinter(words, second), "doc_id long, key long, fp long, check long"), "fingerprints")
+
+
+def row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
 def simhash_components(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id for every row."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(src.mapInArrow(_fingerprinter(words), "doc_id long, fp long"), "fingerprints")
+    rows = _rows(docs, words, False, id_col, text_col)
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
     n = nodes.count()
-    comp = materialize(components(links(nodes, bits, n)), "components").withColumnRenamed("node", "fp")
+    comp = materialize(components(links(nodes.select(F.col("fp").alias("node"), "fp", F.col("fp").alias("check")), bits, n)), "components").withColumnRenamed("node", "fp")
     named = join_small(nodes, comp, ["fp"], "left", comp.count(), 32).withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least, "label").select("fp", "component_id"), "named")
     out = join_small(rows, named, ["fp"], "inner", n, 32)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, bits: int = 7, check_bits: int = 16, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the least id (null last).
+
+    Two fingerprints, of independent hashes, are taken; texts link if one is within bits and the other within check_bits, so
+    unlike texts meet by chance with 2e-15 a pair, and texts of similarity 0.9 in five-word shingles are missed by both with
+    about 0.15 a pair, in groups by less.
+    """
+    rows = _rows(docs, words, True, id_col, text_col).withColumn("node", F.xxhash64("fp", "check"))
+    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("key").alias("k"))
+    nodes = materialize(rows.groupBy("node", "fp", "check").agg(F.min(rank).alias("rep")), "prints")
+    n = nodes.count()
+    found = links(nodes, bits, n, check_bits).unionByName(links(nodes.select("node", F.col("check").alias("fp"), F.col("fp").alias("check")), bits, n, check_bits))
+    comp = materialize(components(found), "components")
+    named = join_small(nodes, comp, ["node"], "left", comp.count(), 32).withColumn("label", F.coalesce("label", "node"))
+    stays = named.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.k").alias("key"))
+    keys = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(stays.withColumn("stays", F.lit(True)), "key", "left"), "stays")
+    gone, many = keys.filter("stays is null").select("key"), keys.filter("stays and copies > 1").select("key")
+    own = docs.withColumn("key__", row_key(id_col, text_col))
+    out = join_small(own, gone.withColumnRenamed("key", "key__"), ["key__"], "left_anti", gone.count(), 24)
+    if m := many.count():  # repeated rows: one of each stays
+        many = many.withColumnRenamed("key", "key__")
+        out = join_small(out, many, ["key__"], "left_anti", m, 24).unionByName(join_small(own, many, ["key__"], "left_semi", m, 24).dropDuplicates(["key__"]))
+    return out.drop("key__")
