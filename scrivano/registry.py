@@ -14,3 +14,6 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+from .plans import curation, splitting  # noqa: E402, F401  they register their queries
