@@ -9,9 +9,9 @@ See suffix_tree for how contexts are chosen, tested and smoothed. The probabilit
 with c its count, N all training tokens, T distinct ones, d = 0.7, and Q the letter tree's probability of its spelling (a fixed
 share for the end). Each is a distribution, so the text's probability is one of all texts.
 
-Words are counted over all training documents by a shuffle on words; each block of documents sends its distinct words once
-and gets their counts and spelling probabilities back the same way, so nothing that grows with the vocabulary is held in one
-place. The trees are bounded by their rates (suffix_tree) and go out with the code.
+Words are counted over all training documents by an exchange: each block of documents sends its distinct words once, packed by
+the owner that the word's hash names, and gets their counts and spelling probabilities back in the same order, so nothing that
+grows with the vocabulary is held in one place. The trees are bounded by their rates (suffix_tree) and go out with the code.
 
 Nulls, ties, repeats: a null text is empty and has only its end; a null id counts as the text "null"; without training
 documents the letters' uniform base gives all scores and base scores use counts of zero; an empty table gives an empty
@@ -25,27 +25,51 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix_tree as st
-from .common import materialize, utf8
+from .common import estimated_bytes, materialize, utf8, width
 
 BLOCK_BYTES = 8 << 20
 D, END_SHARE, LETTERS = 0.7, 1e-3, 1_114_113
-_BLOCKS = "block long, ids array<long>, train array<boolean>, lengths binary, codes binary, vocab array<binary>, counts array<int>, hashes binary"
+FREQUENT = 4  # occurrences in a block below which a word is in no candidate pair
+_SENDS = "sends array<struct<owner:int,words:binary,n:binary>>"
+_BLOCKS = "block long, ids array<long>, train array<boolean>, lengths binary, codes binary, hashes binary, order binary, " + _SENDS
 _PAIRS = "k int, key long, ctx long, up_key long, up_ctx long, n long"
 _I64 = pa.int64()
 
 
+def _pack(x) -> bytes:
+    """Compressed; of numbers byte by byte of their places, which compresses better."""
+    raw = x if isinstance(x, bytes) else np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _bytes(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
+def _numbers(x: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(_bytes(x), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
+
+
+def _words(x: bytes) -> list[bytes]:
+    raw = _bytes(x)
+    return raw.split(b"\n") if raw else []
+
+
 class _Numbers(dict):
     def __missing__(self, w):
         self[w] = n = len(self)
         return n
 
 
-def _blocker(modulus: int, hold: int):
+def _blocker(modulus: int, hold: int, owners: int):
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         ids, train, texts, size = [], [], [], 0
@@ -59,18 +83,28 @@ def _blocker(modulus: int, hold: int):
                 codes.append(np.array(own, np.int32))
             flags = np.repeat(np.array(train, bool), lengths)
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            often = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")  # small numbers for frequent words
+            anew = np.empty(len(often), np.int32)
+            anew[often] = np.arange(len(often), dtype=np.int32)
+            flat = anew[flat] if len(flat) else flat
             vocab = list(number)
+            vocab = [vocab[i] for i in often.tolist()]
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocab], np.uint64)
+            counts = np.bincount(flat[flags], minlength=len(vocab)).astype(np.int32)
+            owner = (hashes % np.uint64(owners)).astype(np.int32)
+            order = np.argsort(owner, kind="stable")
+            cut = np.flatnonzero(np.diff(owner[order], prepend=-1))
+            sends = [{"owner": int(owner[order[i]]), "words": _pack(b"\n".join([vocab[k] for k in order[i:j].tolist()])), "n": _pack(counts[order[i:j]])} for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True)]
             return pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([(part << 24) | seq], _I64),
                     "ids": pa.array([ids], pa.list_(_I64)),
                     "train": pa.array([train], pa.list_(pa.bool_())),
-                    "lengths": pa.array([np.array(lengths, np.int32).tobytes()], pa.binary()),
-                    "codes": pa.array([flat.tobytes()], pa.binary()),
-                    "vocab": pa.array([vocab], pa.list_(pa.binary())),
-                    "counts": pa.array([np.bincount(flat[flags], minlength=len(vocab)).astype(np.int32)], pa.list_(pa.int32())),
-                    "hashes": pa.array([hashes.tobytes()], pa.binary()),
+                    "lengths": pa.array([_pack(np.array(lengths, np.int32))], pa.binary()),
+                    "codes": pa.array([_pack(flat)], pa.binary()),
+                    "hashes": pa.array([_pack(np.where(counts >= FREQUENT, hashes, 0).astype(np.uint64))], pa.binary()),
+                    "order": pa.array([_pack(order.astype(np.int32))], pa.binary()),
+                    "sends": pa.array([sends], pa.list_(pa.struct([("owner", pa.int32()), ("words", pa.binary()), ("n", pa.binary())]))),
                 }
             )
 
@@ -109,13 +143,16 @@ def _stream(lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray, keep: np
 
 
 def _unpack(row: dict):
-    return np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["codes"], np.int32), np.frombuffer(row["hashes"], np.uint64)
+    """Lengths, codes and symbols; rare words, in no pair of the tree, get symbols of their own."""
+    hashes = _numbers(row["hashes"], np.uint64)
+    own = st.mix(np.full(len(hashes), row["block"] & 0xFFFFFFFFFFFF, np.uint64), np.arange(len(hashes), dtype=np.uint64))
+    return _numbers(row["lengths"], np.int32), _numbers(row["codes"], np.int32), np.where(hashes == 0, own, hashes)
 
 
 def _word_streams(batches):
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {n: batch.column(n)[k].as_py() for n in ("lengths", "codes", "hashes", "train")}
+            row = {n: batch.column(n)[k].as_py() for n in ("block", "lengths", "codes", "hashes", "train")}
             symbols, place = _stream(*_unpack(row), np.array(row["train"], bool))
             if len(symbols):
                 yield symbols, place
@@ -124,9 +161,10 @@ def _word_streams(batches):
 def _letter_streams(batches):
     """The letters of distinct training words, each begun by a mark and closed by an end."""
     for batch in batches:
-        words = [w.decode("utf-8", "surrogatepass") for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True) if c > 0]
-        if words:
-            yield letters(words)
+        for raw, c in zip(batch.column("words").to_pylist(), batch.column("c").to_pylist(), strict=True):
+            words = [w.decode("utf-8", "surrogatepass") for w, n in zip(_words(raw), _numbers(c, np.int64).tolist(), strict=True) if n > 0]
+            for k in range(0, len(words), 50_000):
+                yield letters(words[k : k + 50_000])
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,29 +233,62 @@ def _tree(data: DataFrame, kind, first: int, depth: int, rate: float) -> st.Tree
 
 
 def _speller(tree: st.Tree):
+    """Spelling probabilities of an owner's words."""
+
     def run(batches):
         for batch in batches:
-            raw, q = batch.column("word").to_pylist(), np.zeros(batch.num_rows)
-            for a in range(0, len(raw), 20_000):
-                words = [w.decode("utf-8", "surrogatepass") for w in raw[a : a + 20_000]]
-                symbols, place = letters(words)
-                p = tree.probabilities(symbols, place, np.full(len(symbols), 1.0 / LETTERS))
-                logs = np.where(place > 0, np.log10(np.maximum(p, 1e-300)), 0.0)
-                q[a : a + len(words)] = np.add.reduceat(logs, np.flatnonzero(place == 0))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(q)], ["word", "c", "q"])
+            out = []
+            for raw in batch.column("words").to_pylist():
+                every, q = _words(raw), []
+                for a in range(0, len(every), 20_000):
+                    symbols, place = letters([w.decode("utf-8", "surrogatepass") for w in every[a : a + 20_000]])
+                    p = tree.probabilities(symbols, place, np.full(len(symbols), 1.0 / LETTERS))
+                    logs = np.where(place > 0, np.log10(np.maximum(p, 1e-300)), 0.0)
+                    q.append(np.add.reduceat(logs, np.flatnonzero(place == 0)))
+                out.append(_pack(np.concatenate(q).astype(np.float32) if q else np.zeros(0, np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column("owner"), batch.column("words"), batch.column("c"), pa.array(out, pa.binary())], ["own", "words", "c", "q"])
 
     return run
 
 
+def _count_words(t: pa.Table) -> pa.Table:
+    """An owner's distinct words with their counts over all blocks."""
+    c: dict[bytes, int] = {}
+    get = c.get
+    for words, n in zip(t.column("words").to_pylist(), t.column("n").to_pylist(), strict=True):
+        for w, k in zip(_words(words), _numbers(n, np.int32).tolist(), strict=True):
+            c[w] = get(w, 0) + k
+    counts = np.fromiter(c.values(), np.int64, len(c))
+    return pa.table({"owner": t.column("owner").slice(0, 1), "words": pa.array([_pack(b"\n".join(c))], pa.binary()), "c": pa.array([_pack(counts)], pa.binary()), "n_words": pa.array([int(counts.sum())], _I64), "kinds": pa.array([int((counts > 0).sum())], _I64)})
+
+
+def _reply(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Counts and spelling probabilities of each block's words, in the order in which they were sent."""
+    place: dict[bytes, int] = {}
+    for words in right.column("words").to_pylist():
+        place = {w: k for k, w in enumerate(_words(words))}
+    c = np.concatenate([_numbers(x, np.int64) for x in right.column("c").to_pylist()])
+    q = np.concatenate([_numbers(x, np.float32) for x in right.column("q").to_pylist()])
+    out_c, out_q = [], []
+    for words in left.column("words").to_pylist():
+        own = _words(words)
+        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+        out_c.append(_pack(c[at]))
+        out_q.append(_pack(q[at]))
+    return pa.table({"of": left.column("block"), "owner": left.column("owner"), "c": pa.array(out_c, pa.binary()), "q": pa.array(out_q, pa.binary())})
+
+
 def _scorer(tree: st.Tree, n_all: int, kinds: int, ends: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        pos = right.column("pos").to_numpy()
-        c = np.zeros(len(pos) + 1)
-        q = np.zeros(len(pos) + 1)
-        c[pos], q[pos] = right.column("c").to_numpy(), right.column("q").to_numpy()
-        for row in left.select(["ids", "train", "lengths", "codes", "hashes"]).to_pylist():
+        answers = sorted(right.to_pylist(), key=lambda r: r["owner"])
+        for row in left.to_pylist():
             lengths, codes, hashes = _unpack(row)
+            order = _numbers(row["order"], np.int32)
+            c, q = np.zeros(len(order)), np.zeros(len(order))
+            if len(order):
+                c[order] = np.concatenate([_numbers(r["c"], np.int64) for r in answers])
+                q[order] = np.concatenate([_numbers(r["q"], np.float32) for r in answers])
             symbols, place = _stream(lengths, codes, hashes)
             n = lengths.astype(np.int64) + 2
             starts = np.cumsum(n) - n
@@ -250,16 +321,17 @@ def pst_scores(docs: DataFrame, modulus: int = 7, hold: int = 2, word_depth: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; documents whose crc32(id) mod modulus
     is hold are not learned from."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(src.mapInArrow(_blocker(modulus, hold), _BLOCKS), "blocks")
-    own = blocks.select("block", F.posexplode(F.arrays_zip("vocab", "counts"))).select("block", "pos", F.col("col.vocab").alias("word"), F.col("col.counts").alias("n"))
-    words = materialize(own.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    owners = max(width(docs.sparkSession), min(1 << 20, estimated_bytes(docs) >> 24))
+    blocks = materialize(src.mapInArrow(_blocker(modulus, hold, owners), _BLOCKS), "blocks")
+    sends = blocks.select("block", F.explode("sends").alias("s")).select("block", "s.*")
+    words = materialize(sends.groupBy("owner").applyInArrow(_count_words, "owner int, words binary, c binary, n_words long, kinds long"), "words")
     ends = blocks.select(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    n_words, kinds = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_words, kinds = words.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     n_all, kinds = n_words + ends, kinds + (ends > 0)
-    spelling = _tree(words, _letter_streams, 0, char_depth, char_rate)
-    tree = _tree(blocks.select("lengths", "codes", "hashes", "train"), _word_streams, 0, word_depth, word_rate)
+    spelling = _tree(words.select("words", "c"), _letter_streams, 0, char_depth, char_rate)
+    tree = _tree(blocks.select("block", "lengths", "codes", "hashes", "train"), _word_streams, 0, word_depth, word_rate)
     tree.first = 1  # below one word of context the counts of all words are better than the frequent ones
-    known = words.mapInArrow(_speller(spelling), "word binary, c long, q double")
-    answers = own.select(F.col("block").alias("of"), "pos", "word").join(known, "word").select("of", "pos", "c", "q")
+    known = words.select("owner", "words", "c").mapInArrow(_speller(spelling), "own int, words binary, c binary, q binary")
+    replies = sends.groupBy("owner").cogroup(known.groupBy("own")).applyInArrow(_reply, "of long, owner int, c binary, q binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "ids", "train", "lengths", "codes", "hashes").groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_scorer(tree, n_all, kinds, ends), schema)
+    return blocks.select("block", "ids", "train", "lengths", "codes", "hashes", "order").groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_scorer(tree, n_all, kinds, ends), schema)
