@@ -182,10 +182,13 @@ def strip_leading_syllable(s: Column, t: Column, p: ScriptProfile = TIBETAN) ->
 
 def strip_leading_marks(s: Column, t: Column, rounds: int = 4) -> Column:
     """The same for leading section marks, up to four times."""
+    def one(o: Column) -> Column:
+        r = _strip_one_side(o["source"], o["target"], "^[\\u0F34\\u0F14]+[\\u0F0B\\u0F0C \\t]*", lambda a, b: a == b)
+        return F.transform(F.array(r), lambda x: _pair(x["source"], x["target"], o["changed"] | x["changed"]))[0]
+
     out = _pair(s, t, F.lit(False))
     for _ in range(rounds):
-        one = _strip_one_side(out["source"], out["target"], "^[\\u0F34\\u0F14]+[\\u0F0B\\u0F0C \\t]*", lambda a, b: a == b)
-        out = _pair(one["source"], one["target"], out["changed"] | one["changed"])
+        out = F.transform(F.array(out), one)[0]  # bound, so that the expression grows by a round and not by a power
     return out
 
 
@@ -193,21 +196,20 @@ def truthy(x: Column) -> Column:
     return F.coalesce(F.lower(strip(x.cast("string"))).isin("true", "1", "yes"), F.lit(False))
 
 
-def edit_distance(s: Column, t: Column, band: int = 16) -> Column:
-    """Exact; the full table is only filled for texts that differ by more than band."""
-    near = F.levenshtein(s, t, band)
-    return F.when(near >= 0, near).otherwise(F.levenshtein(s, t))
+def edit_distance(s: Column, t: Column, band: int = 5) -> Column:
+    """Levenshtein distance in code points; the whole table is filled only for texts that differ by more than band."""
+    return F.transform(F.array(F.levenshtein(s, t, band)), lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(s, t)))[0]
 
 
-def classify(s: Column, t: Column, p: ScriptProfile = TIBETAN) -> Column:
-    """The class of an edit, first match wins."""
-    d = F.levenshtein(s, t, 5)  # -1 above 5
+def classify(s: Column, t: Column, p: ScriptProfile = TIBETAN, distance: Column | None = None) -> Column:
+    """The class of an edit, first match wins; distance: theirs, where it is known."""
+    d = edit_distance(s, t) if distance is None else distance
     m = F.greatest(F.length(s), F.length(t), F.lit(1))
     return (
         F.when(strip_punct(s, p) == strip_punct(t, p), "punctuation_only")
         .when((d == 1) & (F.length(s) == F.length(t)), "single_char_substitution")
         .when(d == 1, "single_char_insert_delete")
-        .when((d < 0) | (d / m.cast("double") > 0.30), "large_rewrite")
+        .when((d > 5) | (d / m.cast("double") > 0.30), "large_rewrite")
         .when(s.rlike(f"[{p.separators}]") | t.rlike(f"[{p.separators}]"), "syllable_level")
         .otherwise("multi_edit")
     )

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from difflib import SequenceMatcher, ndiff
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -52,7 +53,17 @@ def char_edits(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def aligned(a: str, b: str) -> list[tuple[str, str]]:
-    """Characters of a and b side by side with as few changes as possible; "" is a gap."""
+    """Characters of a and b side by side with as few changes as possible; "" is a gap. What they begin and end with alike is
+    set aside first, so near texts cost little."""
+    most, n, m = min(len(a), len(b)), 0, 0
+    while n < most and a[n] == b[n]:
+        n += 1
+    while m < most - n and a[-1 - m] == b[-1 - m]:
+        m += 1
+    return [(x, x) for x in a[:n]] + _aligned(a[n : len(a) - m], b[n : len(b) - m]) + [(x, x) for x in a[len(a) - m :]]
+
+
+def _aligned(a: str, b: str) -> list[tuple[str, str]]:
     rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         up, row = rows[-1], [i]
@@ -85,8 +96,8 @@ def inline_diff(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def one(x, y):
         out = ""
-        for d in ndiff(list(x or ""), list(y or "")):
-            out += f"[-{d[2:]}-]" if d[0] == "-" else f"[+{d[2:]}+]" if d[0] == "+" else d[2:] if d[0] == " " else ""
+        for op, i, j, k, w in SequenceMatcher(None, x or "", y or "").get_opcodes():
+            out += x[i:j] if op == "equal" else "".join([*(f"[-{c}-]" for c in (x or "")[i:j]), *(f"[+{c}+]" for c in (y or "")[k:w])])
             if len(out) > 200:
                 return out[:200] + "…"
         return out
@@ -94,20 +105,37 @@ def inline_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def _blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """Matching blocks of a and b: whole words first, characters between them, so that long pages stay cheap."""
+    x, y = (re.findall(r"[^\s་༌]+[་༌]?|\s+|[་༌]", s) for s in (a, b))
+    at, bt = [0], [0]
+    for own, ends in ((x, at), (y, bt)):
+        for w in own:
+            ends.append(ends[-1] + len(w))
+    out = []
+    for op, i, j, k, w in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if op == "equal":
+            out.append((at[i], bt[k], at[j] - at[i]))
+        elif op == "replace" and (at[j] - at[i]) * (bt[w] - bt[k]) <= 250_000:
+            inner = SequenceMatcher(None, a[at[i] : at[j]], b[bt[k] : bt[w]], autojunk=False).get_matching_blocks()
+            out += [(at[i] + m.a, bt[k] + m.b, m.size) for m in inner if m.size]
+    return [*out, (len(a), len(b), 0)]
+
+
 def transferred(gold: list[str], text: str) -> list[str]:
     """text cut where gold is cut: each cut is carried over by the matching blocks around it. The pieces joined are the text."""
     whole = "".join(gold)
-    blocks = SequenceMatcher(None, whole, text, autojunk=False).get_matching_blocks()
+    blocks = _blocks(whole, text)
     cuts, at, k, last = [], 0, 0, 0
     for piece in gold[:-1]:
         at += len(piece)
-        while k + 1 < len(blocks) and blocks[k].a + blocks[k].size < at:
+        while k + 1 < len(blocks) and blocks[k][0] + blocks[k][2] < at:
             k += 1
-        b = blocks[k]
-        place = b.b + min(max(at - b.a, 0), b.size) if b.size else len(text)
-        if at <= b.a and k:
+        a, b, size = blocks[k]
+        place = b + min(max(at - a, 0), size)
+        if at <= a and k:  # between two blocks: the nearer
             before = blocks[k - 1]
-            place = before.b + before.size if at - before.a - before.size <= b.a - at else b.b
+            place = before[1] + before[2] if at - before[0] - before[2] <= a - at else b
         last = max(last, min(place, len(text)))
         cuts.append(last)
     return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]

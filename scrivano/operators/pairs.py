@@ -93,7 +93,9 @@ def process(pages: DataFrame, profile: ScriptProfile = TIBETAN, min_chars: int =
 
 
 def categorize(pairs: DataFrame, profile: ScriptProfile = TIBETAN) -> DataFrame:
-    return pairs.withColumn("diff_category", X.classify(F.col("source"), F.col("target"), profile)).withColumn("edit_distance", X.edit_distance(F.col("source"), F.col("target")))
+    s, g = F.col("source"), F.col("target")
+    both = F.transform(F.array(X.edit_distance(s, g)), lambda d: F.struct(X.classify(s, g, profile, d).alias("diff_category"), d.alias("edit_distance")))[0]
+    return pairs.withColumn("class__", both).select("*", "class__.*").drop("class__")
 
 
 def similarity_gate(pairs: DataFrame, least: float = 0.55) -> DataFrame:
