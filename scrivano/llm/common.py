@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -24,8 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_RECORDED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recording(paths: list[str]):
+    """Paths that are made meanwhile are added to paths, for whoever knows when their tables are no longer read."""
+    _RECORDED.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDED.pop()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/scrivano/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/scrivano/{name}-{uuid.uuid4().hex}"
+    if _RECORDED:
+        _RECORDED[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
