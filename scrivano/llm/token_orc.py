@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import new_path, width, worker_cache
 
 AFTER = ".,;:!?)%&*#$|\""
-MEMO = 700_000  # pieces remembered by a worker; then it starts anew
+MEMO = 500_000  # pieces remembered by a worker; then it starts anew
 #: Python's white space, which includes the pre-tokenizer's.
 _WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 
