@@ -35,7 +35,6 @@ from .common import estimated_bytes, materialize, utf8, width
 
 BLOCK_BYTES = 8 << 20
 D, END_SHARE, LETTERS = 0.7, 1e-3, 1_114_113
-FREQUENT = 4  # occurrences in a block below which a word is in no candidate pair
 _SENDS = "sends array<struct<owner:int,words:binary,n:binary>>"
 _BLOCKS = "block long, ids array<long>, train array<boolean>, lengths binary, codes binary, hashes binary, order binary, " + _SENDS
 _PAIRS = "k int, key long, ctx long, up_key long, up_ctx long, n long"
@@ -102,7 +101,7 @@ def _blocker(modulus: int, hold: int, owners: int):
                     "train": pa.array([train], pa.list_(pa.bool_())),
                     "lengths": pa.array([_pack(np.array(lengths, np.int32))], pa.binary()),
                     "codes": pa.array([_pack(flat)], pa.binary()),
-                    "hashes": pa.array([_pack(np.where(counts >= FREQUENT, hashes, 0).astype(np.uint64))], pa.binary()),
+                    "hashes": pa.array([_pack(hashes)], pa.binary()),
                     "order": pa.array([_pack(order.astype(np.int32))], pa.binary()),
                     "sends": pa.array([sends], pa.list_(pa.struct([("owner", pa.int32()), ("words", pa.binary()), ("n", pa.binary())]))),
                 }
@@ -143,10 +142,8 @@ def _stream(lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray, keep: np
 
 
 def _unpack(row: dict):
-    """Lengths, codes and symbols; rare words, in no pair of the tree, get symbols of their own."""
-    hashes = _numbers(row["hashes"], np.uint64)
-    own = st.mix(np.full(len(hashes), row["block"] & 0xFFFFFFFFFFFF, np.uint64), np.arange(len(hashes), dtype=np.uint64))
-    return _numbers(row["lengths"], np.int32), _numbers(row["codes"], np.int32), np.where(hashes == 0, own, hashes)
+    """Lengths, codes and symbols, which are the same for a word in every block."""
+    return _numbers(row["lengths"], np.int32), _numbers(row["codes"], np.int32), _numbers(row["hashes"], np.uint64)
 
 
 def _word_streams(batches):

@@ -318,6 +318,18 @@ def test_language_model(docs, rows, spark):
     assert pst_lm.pst_scores(empty(spark)).count() == 0
 
 
+def test_language_model_scores_do_not_depend_on_blocks(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = [(i, f"alpha beta gamma x{i}") for i in ids[:40]]
+    schema = "doc_id long, text string"
+    rows_of = spark.sparkContext.parallelize
+    one = spark.createDataFrame(rows_of([*train, (held, "alpha beta gamma")], 1), schema)
+    apart = spark.createDataFrame(rows_of(train, 1).union(rows_of([(held, "alpha beta gamma")], 1)), schema)
+    a, b = ({r.doc_id: r.score for r in pst_lm.pst_scores(d).collect()} for d in (one, apart))
+    assert a == pytest.approx(b)
+
+
 def test_passages(spark):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(3000)]
