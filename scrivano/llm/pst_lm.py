@@ -11,7 +11,10 @@ share for the end). Each is a distribution, so the text's probability is one of
 
 Words are counted over all training documents by an exchange: each block of documents sends its distinct words once, packed by
 the owner that the word's hash names, and gets their counts and spelling probabilities back in the same order, so nothing that
-grows with the vocabulary is held in one place. The trees are bounded by their rates (suffix_tree) and go out with the code.
+grows with the vocabulary is held in one place. The word tree is made by the same exchange, level by level: blocks send their
+distinct (context, next word) pairs to the owners of the contexts, which count all of them, test the contexts and send back the
+probabilities of each block's pairs. So it grows with the data, and no one holds it. The letter tree is bounded by its rate
+(suffix_tree) and goes out with the code.
 
 Nulls, ties, repeats: a null text is empty and has only its end; a null id counts as the text "null"; without training
 documents the letters' uniform base gives all scores and base scores use counts of zero; an empty table gives an empty
@@ -37,6 +40,8 @@ BLOCK_BYTES = 8 << 20
 D, END_SHARE, LETTERS = 0.7, 1e-3, 1_114_113
 _SENDS = "sends array<struct<owner:int,words:binary,n:binary>>"
 _BLOCKS = "block long, ids array<long>, train array<boolean>, lengths binary, codes binary, hashes binary, order binary, " + _SENDS
+_REPLIES = "of long, k int, owner int, a binary, b binary, c binary"
+_ASKED = "block long, owner int, ctx binary, runs binary, keys binary, n binary, up binary"
 _PAIRS = "k int, key long, ctx long, up_key long, up_ctx long, n long"
 _I64 = pa.int64()
 
@@ -123,7 +128,7 @@ def _blocker(modulus: int, hold: int, owners: int):
     return run
 
 
-def _stream(lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _stream(lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of documents, each begun by a mark and closed by the end, and places in them."""
     total = int(lengths.sum()) + 2 * len(lengths)
     n = lengths.astype(np.int64) + 2
@@ -135,9 +140,6 @@ def _stream(lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray, keep: np
     inner[starts] = False
     inner[starts + n - 1] = False
     symbols[inner] = hashes[codes]
-    if keep is not None:
-        mask = np.repeat(keep, n)
-        symbols, place = symbols[mask], place[mask]
     return symbols, place
 
 
@@ -146,15 +148,6 @@ def _unpack(row: dict):
     return _numbers(row["lengths"], np.int32), _numbers(row["codes"], np.int32), _numbers(row["hashes"], np.uint64)
 
 
-def _word_streams(batches):
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = {n: batch.column(n)[k].as_py() for n in ("block", "lengths", "codes", "hashes", "train")}
-            symbols, place = _stream(*_unpack(row), np.array(row["train"], bool))
-            if len(symbols):
-                yield symbols, place
-
-
 def _letter_streams(batches):
     """The letters of distinct training words, each begun by a mark and closed by an end."""
     for batch in batches:
@@ -272,31 +265,116 @@ def _reply(left: pa.Table, right: pa.Table) -> pa.Table:
         at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
         out_c.append(_pack(c[at]))
         out_q.append(_pack(q[at]))
-    return pa.table({"of": left.column("block"), "owner": left.column("owner"), "c": pa.array(out_c, pa.binary()), "q": pa.array(out_q, pa.binary())})
+    return _answer(left, 0, out_c, out_q, [b""] * len(out_c))
+
+
+def _answer(t: pa.Table, k: int, *cols: list[bytes]) -> pa.Table:
+    return pa.table({"of": t.column("block"), "k": pa.array([k] * t.num_rows, pa.int32()), "owner": t.column("owner"), **{n: pa.array(x, pa.binary()) for n, x in zip("abc", cols, strict=True)}})
+
+
+class _Block:
+    """A block with the replies that it has got, level 0 being its words'."""
+
+    def __init__(self, row: dict, replies: list[dict], ends: int):
+        self.replies = sorted(replies, key=lambda r: (r["k"], r["owner"]))
+        lengths, codes, hashes = _unpack(row)
+        order = _numbers(row["order"], np.int32)
+        c, q = np.zeros(len(order)), np.zeros(len(order))
+        if len(order):
+            c[order], q[order] = self.numbers(0, "a", np.int64), self.numbers(0, "b", np.float32)
+        self.symbols, self.place = _stream(lengths, codes, hashes)
+        self.n = lengths.astype(np.int64) + 2
+        self.starts = np.cumsum(self.n) - self.n
+        self.train = np.repeat(np.array(row["train"], bool), self.n)
+        self.count, self.spell = np.full(len(self.symbols), float(ends)), np.full(len(self.symbols), np.log10(END_SHARE))
+        inner = np.ones(len(self.symbols), bool)
+        inner[self.starts] = inner[self.starts + self.n - 1] = False
+        self.count[inner], self.spell[inner] = c[codes], q[codes] + np.log10(1 - END_SHARE)
+
+    def numbers(self, k: int, name: str, kind) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *[_numbers(r[name], kind) for r in self.replies if r["k"] == k]])
+
+
+def _rows(left: pa.Table, right: pa.Table, ends: int):
+    replies = right.to_pylist()
+    for row in left.to_pylist():
+        yield row, _Block(row, replies, ends)
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def _owner(ctx: np.ndarray, owners: int) -> np.ndarray:
+    """Owners of contexts, in the order of contexts."""
+    return ((ctx >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
+
+
+def _asker(k: int, owners: int, n_all: int, ends: int):
+    """Sends a block's distinct pairs of level k with their training counts and their shares one level below."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict = {c: [] for c in ("block", "owner", "ctx", "runs", "keys", "n", "up")}
+        for row, b in _rows(left, right, ends):
+            up = b.count / max(1, n_all)
+            if k > 1:
+                at, pair, *_ = st.distinct(b.symbols, b.place, k - 1)
+                up[at] = b.numbers(k - 1, "b", np.float32)[pair]
+            at, pair, one, ctx, keys = st.distinct(b.symbols, b.place, k)
+            n = np.bincount(pair[b.train[at]], minlength=len(keys)).astype(np.int32)
+            owner = _owner(ctx, owners)
+            cut = _starts(owner)
+            for i, j in zip(cut, np.append(cut[1:], len(owner)), strict=True):
+                first = _starts(ctx[i:j])
+                out["block"].append(row["block"])
+                out["owner"].append(int(owner[i]))
+                out["ctx"].append(_pack(ctx[i:j][first]))
+                out["runs"].append(_pack(np.diff(first, append=j - i).astype(np.int32)))
+                out["keys"].append(_pack(keys[i:j]))
+                out["n"].append(_pack(n[i:j]))
+                out["up"].append(_pack(up[one[i:j]].astype(np.float32)))
+        kinds = {"block": _I64, "owner": pa.int32()}
+        return pa.table({c: pa.array(x, kinds.get(c, pa.binary())) for c, x in out.items()})
+
+    return run
+
+
+def _teller(k: int):
+    """An owner's contexts, counted over all blocks and tested; to each block the probabilities of its pairs, their shares for
+    the next level, and its contexts' weights of their suffixes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        every = {c: [_numbers(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ctx", np.uint64), ("runs", np.int32), ("keys", np.uint64), ("n", np.int32), ("up", np.float32))}
+        lengths = [len(x) for x in every["keys"]]
+        ctx = np.concatenate([np.repeat(c, r) for c, r in zip(every["ctx"], every["runs"], strict=True)])
+        _, one, pair = np.unique(np.concatenate(every["keys"]), return_index=True, return_inverse=True)
+        n = np.bincount(pair, np.concatenate(every["n"]), len(one))
+        q, rest, share = (x.astype(np.float32) for x in st.states(ctx[one], n, np.concatenate(every["up"])[one].astype(np.float64)))
+        qs, shares, rests, end = [], [], [], 0
+        for m, runs in zip(lengths, every["runs"], strict=True):
+            own, end = pair[end : end + m], end + m
+            qs.append(_pack(q[own]))
+            shares.append(_pack(share[own]))
+            rests.append(_pack(rest[own[np.cumsum(runs) - runs]]))
+        return _answer(t, k, qs, shares, rests)
+
+    return run
 
 
-def _scorer(tree: st.Tree, n_all: int, kinds: int, ends: int):
+def _scorer(depth: int, n_all: int, kinds: int, ends: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        answers = sorted(right.to_pylist(), key=lambda r: r["owner"])
-        for row in left.to_pylist():
-            lengths, codes, hashes = _unpack(row)
-            order = _numbers(row["order"], np.int32)
-            c, q = np.zeros(len(order)), np.zeros(len(order))
-            if len(order):
-                c[order] = np.concatenate([_numbers(r["c"], np.int64) for r in answers])
-                q[order] = np.concatenate([_numbers(r["q"], np.float32) for r in answers])
-            symbols, place = _stream(lengths, codes, hashes)
-            n = lengths.astype(np.int64) + 2
-            starts = np.cumsum(n) - n
-            cnt, spell = np.full(len(symbols), float(ends)), np.full(len(symbols), np.log10(END_SHARE))
-            inner = np.ones(len(symbols), bool)
-            inner[starts] = inner[starts + n - 1] = False
-            cnt[inner], spell[inner] = c[codes], q[codes] + np.log10(1 - END_SHARE)
+        for row, b in _rows(left, right, ends):
+            n, starts, cnt = b.n, b.starts, b.count
             # in logarithms, as long spellings leave the range of doubles
-            rest = np.log10((D * kinds + 1) / (n_all + 1)) + spell
-            root = np.maximum(cnt - D, 0) / (n_all + 1)
-            p = tree.probabilities(symbols, place, root + 10.0 ** np.maximum(rest, -280.0))
+            rest = np.log10((D * kinds + 1) / (n_all + 1)) + b.spell
+            p = np.maximum(cnt - D, 0) / (n_all + 1) + 10.0 ** np.maximum(rest, -280.0)
+            for k in range(1, depth + 1):
+                at, pair, _, ctx, _ = st.distinct(b.symbols, b.place, k)
+                first = _starts(ctx)
+                weight = np.repeat(b.numbers(k, "c", np.float32), np.diff(first, append=len(ctx)))
+                p[at] = weight[pair] * p[at] + b.numbers(k, "a", np.float32)[pair]
             tiny = p < 1e-200
             logs = np.where(tiny, np.minimum(rest, -200.0), np.log10(np.maximum(p, 1e-300)))
             logs[starts] = 0
@@ -314,7 +392,7 @@ def _scorer(tree: st.Tree, n_all: int, kinds: int, ends: int):
     return run
 
 
-def pst_scores(docs: DataFrame, modulus: int = 7, hold: int = 2, word_depth: int = 2, char_depth: int = 7, word_rate: float = 5e-6, char_rate: float = 5e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pst_scores(docs: DataFrame, modulus: int = 7, hold: int = 2, word_depth: int = 2, char_depth: int = 7, char_rate: float = 5e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; documents whose crc32(id) mod modulus
     is hold are not learned from."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -326,9 +404,12 @@ def pst_scores(docs: DataFrame, modulus: int = 7, hold: int = 2, word_depth: int
     n_words, kinds = words.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     n_all, kinds = n_words + ends, kinds + (ends > 0)
     spelling = _tree(words.select("words", "c"), _letter_streams, 0, char_depth, char_rate)
-    tree = _tree(blocks.select("block", "lengths", "codes", "hashes", "train"), _word_streams, 0, word_depth, word_rate)
-    tree.first = 1  # below one word of context the counts of all words are better than the frequent ones
     known = words.select("owner", "words", "c").mapInArrow(_speller(spelling), "own int, words binary, c binary, q binary")
-    replies = sends.groupBy("owner").cogroup(known.groupBy("own")).applyInArrow(_reply, "of long, owner int, c binary, q binary")
+    texts = blocks.select("block", "ids", "train", "lengths", "codes", "hashes", "order")
+    replies = materialize(sends.groupBy("owner").cogroup(known.groupBy("own")).applyInArrow(_reply, _REPLIES), "replies")
+    for k in range(1, word_depth + 1):
+        below = replies.filter(F.col("k").isin(0, k - 1))
+        asked = texts.groupBy("block").cogroup(below.groupBy("of")).applyInArrow(_asker(k, owners, n_all, ends), _ASKED)
+        replies = replies.union(materialize(asked.groupBy("owner").applyInArrow(_teller(k), _REPLIES), "replies"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "ids", "train", "lengths", "codes", "hashes", "order").groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_scorer(tree, n_all, kinds, ends), schema)
+    return texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_scorer(word_depth, n_all, kinds, ends), schema)

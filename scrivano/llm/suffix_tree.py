@@ -5,6 +5,9 @@ if parts of the data in which its share is at least `rate` give it a share of ra
 2 (depth + 1) / rate candidates whatever the size of the data. Candidates are then counted exactly, over all data. A context
 stays as a state if what its next symbols say beyond those of its longest suffix state passes a likelihood-ratio test. The
 distribution of a state is discounted and the rest goes to its suffix state, down to the base distribution.
+
+That bound holds for trees that are held in one place (candidates, build). A tree that is partitioned by context has no rate: it
+keeps every pair that occurs LEAST times in all data, and states() tests the contexts of a part.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import numpy as np
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 DISCOUNT, BELOW = 0.5, 6.0  # taken from each pair; added to a state's count for its suffix state
+LEAST = 2  # occurrences in all data from which a pair of a partitioned tree is kept
 
 
 def mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -143,3 +147,33 @@ def build(first: int, depth: int, rows: dict[str, np.ndarray], contexts: dict[st
     key, p, state, r = (np.concatenate(x) for x in (kept_key, kept_p, states, rest))
     a, b = np.argsort(key), np.argsort(state)
     return Tree(first, depth, key[a], p[a], state[b], r[b])
+
+
+def distinct(symbols: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of contexts of length k, ordered by context and key: positions, the pair at each, one position of each pair, and
+    the pairs' contexts and keys."""
+    _, at, ctx, key = next(pairs(symbols, place, k, k))
+    keys, one, pair = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(ctx[one], kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return at, rank[pair], at[one[order]], ctx[one[order]], keys[order]
+
+
+def states(ctx: np.ndarray, n: np.ndarray, up: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all distinct pairs of some contexts with their counts over all data and their shares in the suffix context:
+    discounted probability, weight of the suffix state, and share that the next level is tested against."""
+    kinds, where = np.unique(ctx, return_inverse=True)
+    n = n.astype(np.float64)
+    total = np.bincount(where, n, len(kinds))
+    kept = n >= LEAST
+    p = n / np.maximum(total[where], 1)
+    own = where[kept]
+    number = np.bincount(own, minlength=len(kinds))
+    unseen = (1 - np.bincount(own, p[kept], len(kinds))).clip(1e-12)
+    below = (1 - np.bincount(own, up[kept], len(kinds))).clip(1e-12)
+    gain = 2 * np.bincount(own, n[kept] * np.log(p[kept] / np.maximum(up[kept], 1e-12)), len(kinds)) + 2 * total * unseen * np.log(unseen / below)
+    keep = (gain > 3.84 * number + 10) & (number > 0)
+    chosen = keep[where] & kept
+    q = np.where(chosen, (n - DISCOUNT) / (total[where] + BELOW), 0.0)
+    return q, np.where(keep, 1 - np.bincount(where, q, len(kinds)), 1.0)[where], np.where(chosen, p, up)

@@ -330,6 +330,15 @@ def test_language_model_scores_do_not_depend_on_blocks(spark):
     assert a == pytest.approx(b)
 
 
+def test_language_model_counts_pairs_over_all_data(spark):
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    held = [i for i in range(90) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = [(i, "left right" if k % 20 == 0 else f"a{k} b{k} c{k} d{k}") for k, i in enumerate(ids)]
+    d = spark.createDataFrame(spark.sparkContext.parallelize([*train, (held[0], "left right"), (held[1], "right left")], 31), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pst_lm.pst_scores(d).collect()}
+    assert got[held[0]] > got[held[1]] + 0.5
+
+
 def test_passages(spark):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(3000)]
