@@ -258,6 +258,14 @@ def test_toxicity_learns(spark):
     assert toxicity_automata.score(d.limit(2), none).first().score == pytest.approx(0.5)
 
 
+def test_toxicity_counts_misspellings_absent_from_the_sample(spark):
+    d, labels = labelled(spark)
+    model = toxicity_automata.train(d, labels, F.lit(True))
+    texts = spark.createDataFrame([(1, "tree wretchid house"), (2, "tree wretched house"), (3, "tree river house")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity_automata.score(texts, model).collect()}
+    assert got[3] < 0.3 and 0.5 < got[1] < got[2]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
