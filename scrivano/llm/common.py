@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import re
 import sys
 import tempfile
+import time
 import types
 import uuid
 
@@ -16,9 +19,11 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (spark.checkpoint.dir); a local one is set only where none is configured."""
+    """The folder all executors see (spark.checkpoint.dir); without one, a local folder is set where all tasks run in this process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="scrivano-")
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -52,6 +57,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As materialize, in buckets of key, so that grouping by it again and again moves no rows. The catalog's entry goes at once."""
+    spark, table_name = df.sparkSession, f"scrivano_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", new_path(spark, name)).saveAsTable(table_name)
+    out = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")  # its files are external and stay
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark's cleaner delete the shuffle files that no plan refers to any more: in two rounds, as Python's references to
+    Java objects go in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -77,6 +100,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def parts_of(df: DataFrame, part_bytes: int, most: int = 1 << 20) -> int:
+    """As many parts as df's files have part_bytes, shuffle partitions at least; for inputs of unknown size, these."""
+    size = estimated_bytes(df)
+    return max(width(df.sparkSession), min(most, -(-size // part_bytes)) if size < 1 << 60 else 0)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """Broadcast right only while rows * row_bytes, its counted size, is within limit; else a shuffled join that AQE may split by skew."""
     from pyspark.sql import functions as F

@@ -1,13 +1,15 @@
 """Token ids in ORC: run-length coded integers, row indexes, Bloom filters on document ids.
 
 Documents are ordered by range partition and sorted inside it, encoded, and written as ORC with a row index every
-`stride` rows and a Bloom filter on doc_id. Every file holds one or more parts, a part being what one task wrote; each row
-has its part and its offset in the part. The start of a document in the whole sequence is its offset plus the ids of the
-parts before, which needs one sum for each part. Readers take stripes in parallel and skip row groups by doc_id.
+`stride` rows and a Bloom filter on doc_id. Partitions have about `part_bytes` of input, whatever its size. Every file holds
+one or more parts, a part being what one task wrote; each row has its part and its offset in the part. The start of a document
+in the whole sequence is its offset plus the ids of the parts before, which needs one sum for each part. Readers take stripes
+in parallel and skip row groups by doc_id.
 
-Ids come from the tokenizers library. A text is cut at single spaces between words, where the pre-tokenizer always cuts;
-each piece with its space is encoded once by the library and remembered. Texts where a space touches other white space are
-encoded whole. Both give the ids of the whole text (tested).
+Ids come from the tokenizers library, called without options. Texts of Latin letters, digits and common marks are cut as its
+pre-tokenizer cuts them; its model encodes each piece once, and the ids are remembered in two generations of bounded size.
+Texts with other characters or with the content of an added token are encoded whole. Both give the ids of the whole text
+(tested).
 
 Nulls, ties, repeats: a null text is empty and gets the end id only; null ids come first; rows alike in doc_id are ordered
 by a hash of the text; an empty table gives an empty file set and result; further columns are ignored.
@@ -15,6 +17,7 @@ by a hash of the text; an empty table gives an empty file set and result; furthe
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -24,65 +27,64 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, width, worker_cache
+from .common import new_path, parts_of, worker_cache
 
-AFTER = ".,;:!?)%&*#$|\""
-MEMO = 500_000  # pieces remembered by a worker; then it starts anew
-#: Python's white space, which includes the pre-tokenizer's.
-_WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+MEMO = 500_000  # pieces of a generation
+_LETTER, _MARK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u20ac"
+#: The pre-tokenizer's pieces, for texts of these letters, marks, digits, spaces and line feeds.
+_PIECE = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|[ \n]+(?![^ \n])|[ \n]+"
+_ODD = rf"[^{_LETTER}{_MARK}0-9 \n]"
 
 
-def _touches(text: str) -> bool:
-    """Whether a space is at an end of text or next to white space."""
-    return text[0] == " " or text[-1] == " " or any(c + " " in text or " " + c in text for c in _WHITE.intersection(text))
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _tokenizer(path: str):
-    ready = worker_cache("tokenizers")
-    if path not in ready:
-        from tokenizers import Tokenizer
+class Pieces(dict):
+    """Ids of pieces, as bytes. What was not asked for while MEMO other pieces came is forgotten."""
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        ready[path] = (t, {})
-    return ready[path]
+    def __init__(self, model):
+        self.model = model
+        self.before: dict[str, bytes] = {}
+        self.letters = _byte_letters()
 
+    def __missing__(self, x: str) -> bytes:
+        ids = self.before.get(x)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) >= MEMO:
+            self.before = dict(self)
+            self.clear()
+        self[x] = ids
+        return ids
 
-def _packed(tok, texts: list[str]) -> list[bytes]:
-    return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+class Encoder:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = Pieces(self.tokenizer.model)
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD, *added])).search
+        self.cut = re.compile(_PIECE).findall
+
+    def encode(self, text: str) -> bytes:
+        if self.odd(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
 
 def encode_texts(texts: list[str | None], tokenizer: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-    tok, memo = _tokenizer(tokenizer)
-    if len(memo) > MEMO:
-        memo.clear()
-    cut, whole, new = {}, [], set()
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        if _touches(t):
-            whole.append(i)
-            continue
-        first, *rest = t.split(" ")
-        cut[i] = (first, rest)
-        new.add("\0" + first)  # the first piece has no space before it
-        new.update(rest)
-    new = [x for x in new if x not in memo]
-    # a word and the marks after it are tokens of their own; the word is encoded once for all marks
-    parts = {x: (y, x[len(y) :]) for x in new if (y := x.rstrip(AFTER)) != x and y.isalpha()}
-    need = {y for y, _ in parts.values() if y not in memo} | {"\0" + z for _, z in parts.values() if "\0" + z not in memo} | {x for x in new if x not in parts}
-    need = list(need)
-    for k in range(0, len(need), 4096):
-        some = need[k : k + 4096]
-        memo.update(zip(some, _packed(tok, [x[1:] if x[0] == "\0" else " " + x for x in some]), strict=True))
-    memo.update({x: memo[y] + memo["\0" + z] for x, (y, z) in parts.items()})
-    out = [b""] * len(texts)
-    for i, (first, rest) in cut.items():
-        out[i] = memo["\0" + first] + b"".join(map(memo.__getitem__, rest))
-    for i in whole:
-        out[i] = _packed(tok, [texts[i]])[0]
-    return out
+    ready = worker_cache("tokenizers")
+    if tokenizer not in ready:
+        ready[tokenizer] = Encoder(tokenizer)
+    encode = ready[tokenizer].encode
+    return [encode(t) if t else b"" for t in texts]
 
 
 def _encoder(tokenizer: str, end_id: int, rows: int = 64):
@@ -103,13 +105,13 @@ def _encoder(tokenizer: str, end_id: int, rows: int = 64):
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, stride: int = 1000, stripe_bytes: int = 16 << 20, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, stride: int = 1000, stripe_bytes: int = 16 << 20, part_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs' ids to path in ascending order of id_col."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumn("tie", F.xxhash64("text"))  # so that a repeated id does not fill one range
-    ordered = src.repartitionByRange(parts or width(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered = src.repartitionByRange(parts_of(docs, part_bytes), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     coded = ordered.mapInArrow(_encoder(tokenizer, end_id), "doc_id long, part long, part_start long, n_tokens long, ids array<int>")
-    coded.write.option("orc.compress", "ZSTD").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe_bytes)).orc(path)
+    coded.write.option("orc.compress", "LZ4").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", str(stride)).option("orc.stripe.size", str(stripe_bytes)).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +136,8 @@ def token_digest(tokens: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The rows of some documents; the ids are pushed down to the files' Bloom filters and row indexes."""
-    return spark.read.orc(path).filter(F.col("doc_id").isin(doc_ids))
+    """read_tokens of some documents; their ids are pushed down to the files' Bloom filters and row indexes."""
+    return read_tokens(spark, path).filter(F.col("doc_id").isin(doc_ids))
 
 
 def tokens_table(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
