@@ -109,9 +109,9 @@ def _answer(t: pa.Table) -> pa.Table:
     """Which values of each block other blocks of this owner have too."""
     blocks, owners = t.column("block").to_pylist(), t.column("owner").to_pylist()
     lists = [rice_decode(c) for c in t.column("code").to_pylist()]
-    seen, n = np.unique(np.concatenate(lists), return_counts=True)
-    many = seen[n > 1]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "owner": pa.array(owners, pa.int64()), "bits": pa.array([np.packbits(np.isin(v, many)).tobytes() for v in lists], pa.binary())})
+    _, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    bits = np.split(n[at] > 1, np.cumsum([len(v) for v in lists])[:-1])
+    return pa.table({"block": pa.array(blocks, pa.int64()), "owner": pa.array(owners, pa.int64()), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
 
 def _marker(bits: int, owner_bits: int):
