@@ -1,24 +1,31 @@
-"""Language-model scores by probabilistic suffix trees.
+"""Language-model scores by a probabilistic suffix tree over words, partitioned over the cluster.
 
-Two trees: one over the words of documents, whose states are the last words (up to `word_depth`), and below it, for what word
-counts do not cover, one over the letters of distinct training words, with the last letters (up to `char_depth`) as states.
-See suffix_tree for how contexts are chosen, tested and smoothed. The probability of a token is
+The symbols are words and an end; the states are contexts of the last 1..`depth` symbols, the mark of a text's beginning among
+them. A (context, next) pair is kept if it occurs LEAST times in all training documents, so the tree grows with the data. A
+context becomes a state if what its next symbols say beyond those of its suffix passes a likelihood-ratio test of divergence.
+A state's distribution is discounted and the rest goes to its suffix; scoring thus uses the longest suffix states:
 
-    states' discounted pairs + rest * (max(c - d, 0) + (d T + 1) Q(token)) / (N + 1)
+    p(x | context) = (n - DISCOUNT) / (total + BELOW) + rest p(x | suffix),    below all states
+    p(x) = (c - FLOOR) / (N + 1),  and (FLOOR V + 1) / (N + 1) for all words that training does not have, as one class
 
-with c its count, N all training tokens, T distinct ones, d = 0.7, and Q the letter tree's probability of its spelling (a fixed
-share for the end). Each is a distribution, so the text's probability is one of all texts.
+with n, c the counts of pair and token, N all training tokens, V distinct ones. Each is a distribution over the V tokens and the
+class of unknown words, as the base is, so the text's probability is one over texts in which unknown words are alike.
 
-Words are counted over all training documents by an exchange: each block of documents sends its distinct words once, packed by
-the owner that the word's hash names, and gets their counts and spelling probabilities back in the same order, so nothing that
-grows with the vocabulary is held in one place. The word tree is made by the same exchange, level by level: blocks send their
-distinct (context, next word) pairs to the owners of the contexts, which count all of them, test the contexts and send back the
-probabilities of each block's pairs. So it grows with the data, and no one holds it. The letter tree is bounded by its rate
-(suffix_tree) and goes out with the code.
+Nothing that grows with the data is held in one place. Blocks of documents send their distinct words, pairs and contexts to
+owners, as sorted Rice-coded hashes cut to what the number of tokens needs, and get replies in the same order:
+
+0. words: counts over all training documents;
+1. pairs of level k, if its symbol and its context, pairs of level k - 1, occur LEAST times: counts over all; each pair is
+   entrusted to the first block that has it;
+2. contexts of level k: each block adds up the test's terms of the pairs entrusted to it, so the pairs of one context, however
+   many, never meet; the owner sums them and answers with the state's discounted mass.
+
+Terms are added as integers, so scores do not depend on blocks or partitions. Words are told apart by 64-bit hashes, pairs by
+hashes of KEY_BITS bits more than the logarithm of the number of tokens has: a few in a million share theirs with another.
 
 Nulls, ties, repeats: a null text is empty and has only its end; a null id counts as the text "null"; without training
-documents the letters' uniform base gives all scores and base scores use counts of zero; an empty table gives an empty
-result; further columns are ignored.
+documents all tokens are of the unknown class, whose probability is then 1, and base scores use counts of zero; an empty table
+gives an empty result; repeated rows are scored and learned from each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,38 +40,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import suffix_tree as st
-from .common import estimated_bytes, materialize, utf8, width
+from .common import materialize, materialize_by, parts_of, release, utf8
+from .golomb_dedup import rice_decode, rice_encode
 
 BLOCK_BYTES = 8 << 20
-D, END_SHARE, LETTERS = 0.7, 1e-3, 1_114_113
-_SENDS = "sends array<struct<owner:int,words:binary,n:binary>>"
-_BLOCKS = "block long, ids array<long>, train array<boolean>, lengths binary, codes binary, hashes binary, order binary, " + _SENDS
-_REPLIES = "of long, k int, owner int, a binary, b binary, c binary"
-_ASKED = "block long, owner int, ctx binary, runs binary, keys binary, n binary, up binary"
-_PAIRS = "k int, key long, ctx long, up_key long, up_ctx long, n long"
+LEAST, DISCOUNT, BELOW, FLOOR = 2, 0.5, 6.0, 0.7
+#: Stand-ins for the hashes of a text's end and beginning; units of the test's terms.
+END, BEGIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+GAIN_UNIT, SHARE_UNIT = float(1 << 4), float(1 << 26)
+KEY_BITS = 18  # of a pair's hash beyond the logarithm of the number of tokens
+WORDS, PAIRS, CONTEXTS = 0, 1, 2
+_BLOCKS = "block long, ids array<long>, train array<boolean>, lengths binary, codes binary, hashes binary, counts binary"
+_ASKED = "block long, kind int, k int, owner long, code binary, cols array<binary>"
+_REPLIES = "of long, kind int, k int, owner long, a binary, b binary, tokens long, kinds long"
 _I64 = pa.int64()
 
 
-def _pack(x) -> bytes:
-    """Compressed; of numbers byte by byte of their places, which compresses better."""
-    raw = x if isinstance(x, bytes) else np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed, byte by byte of the numbers' places."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _bytes(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x)
-
-
 def _numbers(x: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(_bytes(x), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
 
 
-def _words(x: bytes) -> list[bytes]:
-    raw = _bytes(x)
-    return raw.split(b"\n") if raw else []
+def mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (h ^ (x * END)) * BEGIN
+        z ^= z >> np.uint64(29)
+        z *= END
+        return z ^ (z >> np.uint64(32))
 
 
 class _Numbers(dict):
@@ -73,7 +82,7 @@ class _Numbers(dict):
         return n
 
 
-def _blocker(modulus: int, hold: int, owners: int):
+def _blocker(modulus: int, hold: int):
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         ids, train, texts, size = [], [], [], 0
@@ -82,35 +91,19 @@ def _blocker(modulus: int, hold: int, owners: int):
             number = _Numbers()
             codes, lengths = [], []
             for t in texts:
-                own = list(map(number.__getitem__, t.lower().split()))
-                lengths.append(len(own))
-                codes.append(np.array(own, np.int32))
-            flags = np.repeat(np.array(train, bool), lengths)
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+                w = t.lower().split()
+                lengths.append(len(w))
+                codes.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
+            flat = np.concatenate(codes)
             often = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")  # small numbers for frequent words
             anew = np.empty(len(often), np.int32)
             anew[often] = np.arange(len(often), dtype=np.int32)
             flat = anew[flat] if len(flat) else flat
-            vocab = list(number)
-            vocab = [vocab[i] for i in often.tolist()]
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in vocab], np.uint64)
-            counts = np.bincount(flat[flags], minlength=len(vocab)).astype(np.int32)
-            owner = (hashes % np.uint64(owners)).astype(np.int32)
-            order = np.argsort(owner, kind="stable")
-            cut = np.flatnonzero(np.diff(owner[order], prepend=-1))
-            sends = [{"owner": int(owner[order[i]]), "words": _pack(b"\n".join([vocab[k] for k in order[i:j].tolist()])), "n": _pack(counts[order[i:j]])} for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True)]
-            return pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([(part << 24) | seq], _I64),
-                    "ids": pa.array([ids], pa.list_(_I64)),
-                    "train": pa.array([train], pa.list_(pa.bool_())),
-                    "lengths": pa.array([_pack(np.array(lengths, np.int32))], pa.binary()),
-                    "codes": pa.array([_pack(flat)], pa.binary()),
-                    "hashes": pa.array([_pack(hashes)], pa.binary()),
-                    "order": pa.array([_pack(order.astype(np.int32))], pa.binary()),
-                    "sends": pa.array([sends], pa.list_(pa.struct([("owner", pa.int32()), ("words", pa.binary()), ("n", pa.binary())]))),
-                }
-            )
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))[often]
+            counts = np.bincount(flat[np.repeat(np.array(train, bool), lengths)], minlength=len(number))
+            cols = {"block": [(part << 24) | seq], "ids": [ids], "train": [train], "lengths": [_pack(np.array(lengths, np.int32))], "codes": [_pack(flat)], "hashes": [_pack(hashes)], "counts": [_pack(counts.astype(np.int32))]}
+            kinds = (_I64, pa.list_(_I64), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(cols.items(), kinds, strict=True)})
 
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -128,288 +121,234 @@ def _blocker(modulus: int, hold: int, owners: int):
     return run
 
 
-def _stream(lengths: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of documents, each begun by a mark and closed by the end, and places in them."""
-    total = int(lengths.sum()) + 2 * len(lengths)
-    n = lengths.astype(np.int64) + 2
-    starts = np.cumsum(n) - n
-    symbols = np.full(total, 1, np.uint64)
-    place = np.arange(total) - np.repeat(starts, n)
-    symbols[starts] = 2
-    inner = np.ones(total, bool)
-    inner[starts] = False
-    inner[starts + n - 1] = False
-    symbols[inner] = hashes[codes]
-    return symbols, place
-
-
-def _unpack(row: dict):
-    """Lengths, codes and symbols, which are the same for a word in every block."""
-    return _numbers(row["lengths"], np.int32), _numbers(row["codes"], np.int32), _numbers(row["hashes"], np.uint64)
-
-
-def _letter_streams(batches):
-    """The letters of distinct training words, each begun by a mark and closed by an end."""
-    for batch in batches:
-        for raw, c in zip(batch.column("words").to_pylist(), batch.column("c").to_pylist(), strict=True):
-            words = [w.decode("utf-8", "surrogatepass") for w, n in zip(_words(raw), _numbers(c, np.int64).tolist(), strict=True) if n > 0]
-            for k in range(0, len(words), 50_000):
-                yield letters(words[k : k + 50_000])
-
-
-def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer("".join(["\x01" + w + "\x00" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = np.array([len(w) + 2 for w in words])
-    return flat + np.uint64(5), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _merged(streams, size: int = 1_000_000):
-    """Streams joined to parts of a size, so that local shares mean something."""
-    a, b, n = [], [], 0
-    for s, p in streams:
-        a.append(s)
-        b.append(p)
-        n += len(s)
-        if n >= size:
-            yield np.concatenate(a), np.concatenate(b)
-            a, b, n = [], [], 0
-    if a:
-        yield np.concatenate(a), np.concatenate(b)
+def _asks(block: int, kind: int, k: int, keys: np.ndarray, bits: int, owner_bits: int, *cols: np.ndarray) -> list[dict]:
+    """Sorted distinct keys of so many bits and what belongs to them, by owner, which the leading bits name."""
+    owner = (keys >> np.uint64(bits - owner_bits)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(owner, prepend=-1))
+    out = []
+    for i, j in zip(cut, np.append(cut[1:], len(keys)), strict=True):
+        base = np.uint64(int(owner[i]) << (bits - owner_bits))
+        out.append({"block": block, "kind": kind, "k": k, "owner": int(owner[i]), "code": rice_encode(keys[i:j] - base), "cols": [_pack(c[i:j]) for c in cols]})
+    return out
 
 
-def _i(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), _I64)
+def _asked(out: list[dict]) -> pa.Table:
+    kinds = {"block": _I64, "kind": pa.int32(), "k": pa.int32(), "owner": _I64, "code": pa.binary(), "cols": pa.list_(pa.binary())}
+    return pa.table({c: pa.array([x[c] for x in out], t) for c, t in kinds.items()})
 
 
-def _candidates(kind, first: int, depth: int, rate: float):
-    def run(batches):
-        for symbols, place in _merged(kind(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], _I64), pa.array([int((place > 0).sum())], _I64)], ["k", "key", "n"])
-            for k, keys, n in st.candidates(symbols, place, first, depth, rate):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), _i(keys), _i(n)], ["k", "key", "n"])
-
-    return run
-
-
-def _counter(kind, first: int, depth: int, known: np.ndarray):
-    def run(batches):
-        for symbols, place in _merged(kind(batches)):
-            for k, *cols in st.count(symbols, place, first, depth, known):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), k, np.int32)), *map(_i, cols)], ["k", "key", "ctx", "up_key", "up_ctx", "n"])
-
-    return run
-
-
-def _totals(kind, first: int, depth: int, contexts: np.ndarray):
-    def run(batches):
-        for symbols, place in _merged(kind(batches)):
-            for _, ctx, n in st.totals(symbols, place, first, depth, contexts):
-                yield pa.RecordBatch.from_arrays([_i(ctx), _i(n)], ["ctx", "n"])
-
-    return run
-
-
-def _tree(data: DataFrame, kind, first: int, depth: int, rate: float) -> st.Tree:
-    """Rates bound what reaches the driver: at most 2 (depth + 1) / rate pairs."""
-    found = materialize(data.mapInArrow(_candidates(kind, first, depth, rate), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n")), "candidates")
-    total = found.filter("k = -1").agg(F.sum("n")).first()[0] or 0
-    keys = found.filter((F.col("k") >= 0) & (F.col("n") >= max(2.0, rate / 2 * total))).select("key").toArrow()["key"].to_numpy()
-    known = np.unique(keys.view(np.uint64))
-    rows = data.mapInArrow(_counter(kind, first, depth, known), _PAIRS).groupBy("k", "key", "ctx", "up_key", "up_ctx").agg(F.sum("n").alias("n")).toArrow()
-    cols = {c: rows[c].to_numpy().view(np.uint64) if c not in ("k", "n") else rows[c].to_numpy() for c in rows.column_names}
-    contexts = np.unique(cols["ctx"])
-    seen = data.mapInArrow(_totals(kind, first, depth, contexts), "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n")).toArrow()
-    return st.build(first, depth, cols, {"ctx": seen["ctx"].to_numpy().view(np.uint64), "n": seen["n"].to_numpy()})
-
-
-def _speller(tree: st.Tree):
-    """Spelling probabilities of an owner's words."""
-
+def _word_asker(owner_bits: int):
     def run(batches):
         for batch in batches:
-            out = []
-            for raw in batch.column("words").to_pylist():
-                every, q = _words(raw), []
-                for a in range(0, len(every), 20_000):
-                    symbols, place = letters([w.decode("utf-8", "surrogatepass") for w in every[a : a + 20_000]])
-                    p = tree.probabilities(symbols, place, np.full(len(symbols), 1.0 / LETTERS))
-                    logs = np.where(place > 0, np.log10(np.maximum(p, 1e-300)), 0.0)
-                    q.append(np.add.reduceat(logs, np.flatnonzero(place == 0)))
-                out.append(_pack(np.concatenate(q).astype(np.float32) if q else np.zeros(0, np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column("owner"), batch.column("words"), batch.column("c"), pa.array(out, pa.binary())], ["own", "words", "c", "q"])
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                hashes, counts = _numbers(row["hashes"], np.uint64), _numbers(row["counts"], np.int32)
+                order = np.argsort(hashes)
+                yield from _asked(_asks(row["block"], WORDS, 0, hashes[order], 64, owner_bits, counts[order])).to_batches()
 
     return run
 
 
-def _count_words(t: pa.Table) -> pa.Table:
-    """An owner's distinct words with their counts over all blocks."""
-    c: dict[bytes, int] = {}
-    get = c.get
-    for words, n in zip(t.column("words").to_pylist(), t.column("n").to_pylist(), strict=True):
-        for w, k in zip(_words(words), _numbers(n, np.int32).tolist(), strict=True):
-            c[w] = get(w, 0) + k
-    counts = np.fromiter(c.values(), np.int64, len(c))
-    return pa.table({"owner": t.column("owner").slice(0, 1), "words": pa.array([_pack(b"\n".join(c))], pa.binary()), "c": pa.array([_pack(counts)], pa.binary()), "n_words": pa.array([int(counts.sum())], _I64), "kinds": pa.array([int((counts > 0).sum())], _I64)})
-
-
-def _reply(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Counts and spelling probabilities of each block's words, in the order in which they were sent."""
-    place: dict[bytes, int] = {}
-    for words in right.column("words").to_pylist():
-        place = {w: k for k, w in enumerate(_words(words))}
-    c = np.concatenate([_numbers(x, np.int64) for x in right.column("c").to_pylist()])
-    q = np.concatenate([_numbers(x, np.float32) for x in right.column("q").to_pylist()])
-    out_c, out_q = [], []
-    for words in left.column("words").to_pylist():
-        own = _words(words)
-        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-        out_c.append(_pack(c[at]))
-        out_q.append(_pack(q[at]))
-    return _answer(left, 0, out_c, out_q, [b""] * len(out_c))
-
-
-def _answer(t: pa.Table, k: int, *cols: list[bytes]) -> pa.Table:
-    return pa.table({"of": t.column("block"), "k": pa.array([k] * t.num_rows, pa.int32()), "owner": t.column("owner"), **{n: pa.array(x, pa.binary()) for n, x in zip("abc", cols, strict=True)}})
+def _owner(t: pa.Table) -> pa.Table:
+    """Replies to all blocks that ask one owner for words, pairs or contexts."""
+    t = t.sort_by("block")
+    kind, k = t.column("kind")[0].as_py(), t.column("k")[0].as_py()
+    lists = [rice_decode(c) for c in t.column("code").to_pylist()]
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    types = {WORDS: (np.int32,), PAIRS: (np.int32,), CONTEXTS: (np.int32, np.int64, np.int64, np.int64, np.int64)}[kind]
+    cols = [np.concatenate([_numbers(x[c], kind_c) for x in t.column("cols").to_pylist()]) for c, kind_c in enumerate(types)]
+    every, one, at = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+    added = [np.bincount(at, c, len(every)) for c in cols]
+    b = [np.zeros(0, np.int64)] * len(lists)
+    if kind == CONTEXTS:
+        number, n, gain, up = added[:4]
+        state = diverges(number, n, gain / GAIN_UNIT, up / SHARE_UNIT, cols[4][one].astype(np.float64))
+        a = np.split(np.where(state, number, 0).astype(np.int64)[at], cuts)
+        b = np.split(np.where(state, n, 0).astype(np.int64)[at], cuts)
+    elif kind == PAIRS:
+        first = np.zeros(len(at), np.int64)
+        first[one] = 1
+        n = added[0].astype(np.int64)[at]
+        a = np.split(np.where(n >= LEAST, 2 * n + first, 0), cuts)
+    else:
+        a = np.split(added[0].astype(np.int64)[at], cuts)
+    rows = len(lists)
+    out = {"of": t.column("block").to_pylist(), "a": [_pack(x) for x in a], "b": [_pack(x) for x in b], "tokens": [0] * rows, "kinds": [0] * rows}
+    if kind == WORDS:  # once for each owner
+        out["tokens"][0], out["kinds"][0] = int(added[0].sum()), int((added[0] > 0).sum())
+    owner = t.column("owner")[0].as_py()
+    return pa.table({"of": pa.array(out["of"], _I64), "kind": pa.array([kind] * rows, pa.int32()), "k": pa.array([k] * rows, pa.int32()), "owner": pa.array([owner] * rows, _I64), "a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "tokens": pa.array(out["tokens"], _I64), "kinds": pa.array(out["kinds"], _I64)})
+
+
+def diverges(number: np.ndarray, n: np.ndarray, gain: np.ndarray, up: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether contexts are states: number, counts, sums of n log(p / share in the suffix) and of these shares of their kept
+    pairs, and the contexts' own counts. Unkept pairs are one outcome."""
+    unseen, below = (1 - n / np.maximum(total, 1)).clip(1e-12), (1 - up).clip(1e-12)
+    return (2 * gain + 2 * total * unseen * np.log(unseen / below) > 3.84 * number + 10) & (number > 0)
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:1], x[:-1]])
 
 
 class _Block:
-    """A block with the replies that it has got, level 0 being its words'."""
-
-    def __init__(self, row: dict, replies: list[dict], ends: int):
-        self.replies = sorted(replies, key=lambda r: (r["k"], r["owner"]))
-        lengths, codes, hashes = _unpack(row)
-        order = _numbers(row["order"], np.int32)
-        c, q = np.zeros(len(order)), np.zeros(len(order))
-        if len(order):
-            c[order], q[order] = self.numbers(0, "a", np.int64), self.numbers(0, "b", np.float32)
-        self.symbols, self.place = _stream(lengths, codes, hashes)
+    """A block's symbols with what the replies so far say of them. Arrays go over positions; position 0 of a text is the mark of
+    its beginning, the last its end."""
+
+    def __init__(self, row: dict, replies: list[dict], ends: int, n_all: int, kinds: int, bits: int):
+        self.block, self.bits = row["block"], bits
+        self.replies = sorted(replies, key=lambda r: r["owner"])
+        lengths, codes = _numbers(row["lengths"], np.int32), _numbers(row["codes"], np.int32)
+        self.hashes = np.append(_numbers(row["hashes"], np.uint64), [END, BEGIN])
+        v = len(self.hashes) - 2
+        self.order = np.argsort(self.hashes[:v])
+        self.counts = np.zeros(v + 2, np.int64)
+        self.counts[self.order] = self.reply(WORDS, 0, "a")
+        self.counts[v:] = ends
         self.n = lengths.astype(np.int64) + 2
         self.starts = np.cumsum(self.n) - self.n
-        self.train = np.repeat(np.array(row["train"], bool), self.n)
-        self.count, self.spell = np.full(len(self.symbols), float(ends)), np.full(len(self.symbols), np.log10(END_SHARE))
-        inner = np.ones(len(self.symbols), bool)
+        self.word = np.full(int(self.n.sum()), v, np.int32)
+        inner = np.ones(len(self.word), bool)
         inner[self.starts] = inner[self.starts + self.n - 1] = False
-        self.count[inner], self.spell[inner] = c[codes], q[codes] + np.log10(1 - END_SHARE)
-
-    def numbers(self, k: int, name: str, kind) -> np.ndarray:
-        return np.concatenate([np.zeros(0, kind), *[_numbers(r[name], kind) for r in self.replies if r["k"] == k]])
-
-
-def _rows(left: pa.Table, right: pa.Table, ends: int):
+        self.word[inner] = codes
+        self.word[self.starts] = v + 1
+        self.place = np.arange(len(self.word)) - np.repeat(self.starts, self.n)
+        self.train = np.repeat(np.array(row["train"], bool), self.n)
+        self.count = self.counts[self.word]  # of the pair of the level so far
+        self.share = self.count / max(1, n_all)
+        self.p = np.where(self.count > 0, self.count - FLOOR, FLOOR * kinds + 1) / (n_all + 1)
+        self.key, self.id = self.hashes[self.word], self.word  # of the pair; what a context of the next level is known by
+
+    def reply(self, kind: int, k: int, name: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[_numbers(r[name], np.int64) for r in self.replies if (r["kind"], r["k"]) == (kind, k)]])
+
+    def level(self, k: int) -> None:
+        """Contexts and pairs of level k."""
+        self.total, self.own = _before(self.count), _before(self.id)
+        self.there = (self.place >= k) & (self.total >= LEAST)
+        self.at = np.flatnonzero(self.there & (self.count >= LEAST))
+        full = np.zeros(len(self.word), np.uint64)
+        full[self.at] = mix(_before(self.key)[self.at], self.hashes[self.word[self.at]])
+        key = full[self.at] >> np.uint64(64 - self.bits)
+        order = np.argsort(key)
+        new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
+        self.pair = np.empty(len(key), np.int64)
+        self.pair[order] = np.cumsum(new) - 1
+        # contexts of this level, by their numbers: the words, or the pairs of the level below
+        if k == 1:
+            self.contexts, self.context_keys = np.argsort(self.hashes), self.hashes >> np.uint64(64 - self.bits)
+            self.contexts = self.contexts[self.counts[self.contexts] >= LEAST]
+        else:
+            self.contexts, self.context_keys = np.flatnonzero(self.kept), self.keys
+        self.keys, self.key = key[order][new], full
+
+    def ask_pairs(self, k: int, owner_bits: int) -> list[dict]:
+        n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.keys)).astype(np.int32)
+        return _asks(self.block, PAIRS, k, self.keys, self.bits, owner_bits, n)
+
+    def tell_pairs(self, k: int) -> None:
+        reply = self.reply(PAIRS, k, "a")
+        self.kept, self.first = reply >= 2 * LEAST, (reply & 1) > 0
+        count, number = np.zeros(len(self.word), np.int64), np.full(len(self.word), -1, np.int64)
+        count[self.at], number[self.at] = (reply >> 1)[self.pair], self.pair
+        self.count, self.id = count, number
+
+    def ask_contexts(self, k: int, owner_bits: int) -> list[dict]:
+        one = np.zeros(len(self.keys), np.int64)
+        one[self.pair] = self.at
+        one = one[self.kept & self.first]
+        n, total, up = self.count[one].astype(np.float64), self.total[one], self.share[one]
+        gain = np.rint(n * np.log(n / total / np.maximum(up, 1e-12)) * GAIN_UNIT)
+        size = len(self.context_keys)
+        of = self.own[one]
+        own_total = np.zeros(size, np.int64)
+        own_total[self.own[self.there]] = self.total[self.there]
+        cols = [np.bincount(of, w, size)[self.contexts].astype(t) for w, t in ((None, np.int32), (n, np.int64), (gain, np.int64), (np.rint(up * SHARE_UNIT), np.int64))]
+        return _asks(self.block, CONTEXTS, k, self.context_keys[self.contexts], self.bits, owner_bits, *cols, own_total[self.contexts])
+
+    def tell_contexts(self, k: int) -> None:
+        number, n = np.zeros(len(self.context_keys)), np.zeros(len(self.context_keys))
+        number[self.contexts], n[self.contexts] = self.reply(CONTEXTS, k, "a"), self.reply(CONTEXTS, k, "b")
+        at = np.flatnonzero(self.there)
+        at = at[number[self.own[at]] > 0]
+        own, total, count = self.own[at], self.total[at].astype(np.float64), self.count[at]
+        hit = count >= LEAST
+        self.p[at] = (1 - (n[own] - DISCOUNT * number[own]) / (total + BELOW)) * self.p[at] + np.where(hit, (count - DISCOUNT) / (total + BELOW), 0.0)
+        self.share[at] = np.where(hit, count / total, self.share[at])
+
+
+def _rows(left: pa.Table, right: pa.Table, *known):
     replies = right.to_pylist()
     for row in left.to_pylist():
-        yield row, _Block(row, replies, ends)
-
+        yield row, _Block(row, replies, *known)
 
-def _starts(x: np.ndarray) -> np.ndarray:
-    """Where runs of equal numbers begin."""
-    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
-
-def _owner(ctx: np.ndarray, owners: int) -> np.ndarray:
-    """Owners of contexts, in the order of contexts."""
-    return ((ctx >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
-
-
-def _asker(k: int, owners: int, n_all: int, ends: int):
-    """Sends a block's distinct pairs of level k with their training counts and their shares one level below."""
+def _asker(k: int, depth: int, owner_bits: int, known: tuple):
+    """Asks for pairs of level k and for contexts of the level before."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict = {c: [] for c in ("block", "owner", "ctx", "runs", "keys", "n", "up")}
-        for row, b in _rows(left, right, ends):
-            up = b.count / max(1, n_all)
-            if k > 1:
-                at, pair, *_ = st.distinct(b.symbols, b.place, k - 1)
-                up[at] = b.numbers(k - 1, "b", np.float32)[pair]
-            at, pair, one, ctx, keys = st.distinct(b.symbols, b.place, k)
-            n = np.bincount(pair[b.train[at]], minlength=len(keys)).astype(np.int32)
-            owner = _owner(ctx, owners)
-            cut = _starts(owner)
-            for i, j in zip(cut, np.append(cut[1:], len(owner)), strict=True):
-                first = _starts(ctx[i:j])
-                out["block"].append(row["block"])
-                out["owner"].append(int(owner[i]))
-                out["ctx"].append(_pack(ctx[i:j][first]))
-                out["runs"].append(_pack(np.diff(first, append=j - i).astype(np.int32)))
-                out["keys"].append(_pack(keys[i:j]))
-                out["n"].append(_pack(n[i:j]))
-                out["up"].append(_pack(up[one[i:j]].astype(np.float32)))
-        kinds = {"block": _I64, "owner": pa.int32()}
-        return pa.table({c: pa.array(x, kinds.get(c, pa.binary())) for c, x in out.items()})
+        out = []
+        for _, b in _rows(left, right, *known):
+            for j in range(1, k):
+                b.level(j)
+                b.tell_pairs(j)
+                if j < k - 1:
+                    b.tell_contexts(j)
+                else:
+                    out += b.ask_contexts(j, owner_bits)
+            if k <= depth:
+                b.level(k)
+                out += b.ask_pairs(k, owner_bits)
+        return _asked(out)
 
     return run
 
 
-def _teller(k: int):
-    """An owner's contexts, counted over all blocks and tested; to each block the probabilities of its pairs, their shares for
-    the next level, and its contexts' weights of their suffixes."""
-
-    def run(t: pa.Table) -> pa.Table:
-        every = {c: [_numbers(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ctx", np.uint64), ("runs", np.int32), ("keys", np.uint64), ("n", np.int32), ("up", np.float32))}
-        lengths = [len(x) for x in every["keys"]]
-        ctx = np.concatenate([np.repeat(c, r) for c, r in zip(every["ctx"], every["runs"], strict=True)])
-        _, one, pair = np.unique(np.concatenate(every["keys"]), return_index=True, return_inverse=True)
-        n = np.bincount(pair, np.concatenate(every["n"]), len(one))
-        q, rest, share = (x.astype(np.float32) for x in st.states(ctx[one], n, np.concatenate(every["up"])[one].astype(np.float64)))
-        qs, shares, rests, end = [], [], [], 0
-        for m, runs in zip(lengths, every["runs"], strict=True):
-            own, end = pair[end : end + m], end + m
-            qs.append(_pack(q[own]))
-            shares.append(_pack(share[own]))
-            rests.append(_pack(rest[own[np.cumsum(runs) - runs]]))
-        return _answer(t, k, qs, shares, rests)
-
-    return run
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(depth: int, n_all: int, kinds: int, ends: int):
+def _scorer(depth: int, n_all: int, kinds: int, known: tuple):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        for row, b in _rows(left, right, ends):
-            n, starts, cnt = b.n, b.starts, b.count
-            # in logarithms, as long spellings leave the range of doubles
-            rest = np.log10((D * kinds + 1) / (n_all + 1)) + b.spell
-            p = np.maximum(cnt - D, 0) / (n_all + 1) + 10.0 ** np.maximum(rest, -280.0)
-            for k in range(1, depth + 1):
-                at, pair, _, ctx, _ = st.distinct(b.symbols, b.place, k)
-                first = _starts(ctx)
-                weight = np.repeat(b.numbers(k, "c", np.float32), np.diff(first, append=len(ctx)))
-                p[at] = weight[pair] * p[at] + b.numbers(k, "a", np.float32)[pair]
-            tiny = p < 1e-200
-            logs = np.where(tiny, np.minimum(rest, -200.0), np.log10(np.maximum(p, 1e-300)))
-            logs[starts] = 0
-            base = np.log10((cnt + 1) / (n_all + kinds + 1))
-            base[starts] = 0
-            known = (cnt > 0).astype(np.int64)
-            known[starts] = 0
+        for row, b in _rows(left, right, *known):
+            counts = b.count
+            for j in range(1, depth + 1):
+                b.level(j)
+                b.tell_pairs(j)
+                b.tell_contexts(j)
+            logs, base, seen = np.log10(b.p), np.log10((counts + 1) / (n_all + kinds + 1)), (counts > 0).astype(np.int64)
+            logs[b.starts], base[b.starts], seen[b.starts] = 0, 0, 0
             out["doc_id"] += row["ids"]
             out["held_out"] += [not t for t in row["train"]]
-            out["n_tokens"] += (n - 1).tolist()
-            for name, x in (("n_known", known), ("base_score", base), ("score", logs)):
-                out[name] += np.add.reduceat(x, starts).tolist() if len(starts) else []
-        return pa.table({"doc_id": pa.array(out["doc_id"], _I64), "held_out": pa.array(out["held_out"], pa.bool_()), "n_tokens": pa.array(out["n_tokens"], _I64), "n_known": pa.array(out["n_known"], _I64), "train_tokens": pa.array([n_all] * len(out["doc_id"]), _I64), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
+            out["n_tokens"] += (b.n - 1).tolist()
+            for name, x in (("n_known", seen), ("base_score", base), ("score", logs)):
+                out[name] += np.add.reduceat(x, b.starts).tolist()
+        out["train_tokens"] = [n_all] * len(out["doc_id"])
+        kind = {"held_out": pa.bool_(), "base_score": pa.float64(), "score": pa.float64()}
+        names = [x.split()[0] for x in _SCORES.split(", ")]
+        return pa.table({c: pa.array(out[c], kind.get(c, _I64)) for c in names})
 
     return run
 
 
-def pst_scores(docs: DataFrame, modulus: int = 7, hold: int = 2, word_depth: int = 2, char_depth: int = 7, char_rate: float = 5e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pst_scores(docs: DataFrame, modulus: int = 7, hold: int = 2, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; documents whose crc32(id) mod modulus
     is hold are not learned from."""
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    owners = max(width(docs.sparkSession), min(1 << 20, estimated_bytes(docs) >> 24))
-    blocks = materialize(src.mapInArrow(_blocker(modulus, hold, owners), _BLOCKS), "blocks")
-    sends = blocks.select("block", F.explode("sends").alias("s")).select("block", "s.*")
-    words = materialize(sends.groupBy("owner").applyInArrow(_count_words, "owner int, words binary, c binary, n_words long, kinds long"), "words")
+    parts = max(2, parts_of(docs, 16 << 20))
+    owner_bits = (parts - 1).bit_length()
+    blocks = materialize_by(src.mapInArrow(_blocker(modulus, hold), _BLOCKS), "blocks", "block", parts)
     ends = blocks.select(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    n_words, kinds = words.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    n_all, kinds = n_words + ends, kinds + (ends > 0)
-    spelling = _tree(words.select("words", "c"), _letter_streams, 0, char_depth, char_rate)
-    known = words.select("owner", "words", "c").mapInArrow(_speller(spelling), "own int, words binary, c binary, q binary")
-    texts = blocks.select("block", "ids", "train", "lengths", "codes", "hashes", "order")
-    replies = materialize(sends.groupBy("owner").cogroup(known.groupBy("own")).applyInArrow(_reply, _REPLIES), "replies")
-    for k in range(1, word_depth + 1):
-        below = replies.filter(F.col("k").isin(0, k - 1))
-        asked = texts.groupBy("block").cogroup(below.groupBy("of")).applyInArrow(_asker(k, owners, n_all, ends), _ASKED)
-        replies = replies.union(materialize(asked.groupBy("owner").applyInArrow(_teller(k), _REPLIES), "replies"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_scorer(word_depth, n_all, kinds, ends), schema)
+    replies = materialize(blocks.select("block", "hashes", "counts").mapInArrow(_word_asker(owner_bits), _ASKED).groupBy("kind", "k", "owner").applyInArrow(_owner, _REPLIES), "words")
+    words, kinds = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    n_all, kinds = words + ends, kinds + (ends > 0)
+    known = (ends, n_all, kinds, min(64, max(owner_bits + 8, n_all.bit_length() + KEY_BITS)))
+    texts = blocks.drop("counts")
+    for k in range(1, depth + 2):
+        release(spark)
+        asked = texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_asker(k, depth, owner_bits, known), _ASKED)
+        replies = replies.union(materialize(asked.groupBy("kind", "k", "owner").applyInArrow(_owner, _REPLIES), "replies"))
+        del asked
+    release(spark)
+    return texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_scorer(depth, n_all, kinds, known), _SCORES)
