@@ -1,8 +1,9 @@
 """Chat formatting from heterogeneous layouts, chosen by schema fingerprint; DataFrame functions only.
 
 A record's fingerprint is a hash of the nested field paths it has, out of those that any layout names; it selects a
-declarative mapping to canonical turns. Tables are matched by the paths of their schema, JSON payloads row by row with
-variant expressions. Fields that no layout names do not change a fingerprint.
+declarative mapping to canonical turns. JSON payloads are matched with variant expressions. Tables with a row for each turn may
+mix layouts too: a row has the paths that its table has and that are not null in it, and the fingerprints of a layout are the
+hashes of the sets of its paths, as any field may be null. Fields that no layout names do not change a fingerprint.
 
 Template, for each turn: "### " role ": " text "</turn>" newline. In roles and texts a backslash is written as \\b, < as \\l
 and # as \\h, in roles also : as \\c, so no control string can occur inside and the writing is undone exactly.
@@ -10,12 +11,13 @@ The loss mask is run-length coded: three runs (characters, loss) a turn, of head
 
 Nulls, ties, repeats: null roles and texts are empty; null conversation ids form one conversation; turns of equal number are
 ordered by role, then text; a null turn number comes first; repeated rows are turns each; a payload that is not JSON or
-matches no layout gives null turns and layout "unknown"; an empty table gives an empty result; further columns are ignored.
+matches no layout gives null turns and layout "unknown", a row of nulls has the first layout of its table; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,10 +55,9 @@ LAYOUTS = (
     Layout("system_messages", ("messages", "system"), f"concat(array({_turn('system', 'system')}), {_pairs('messages', 'role', 'content')})"),
     Layout("nested_data", ("data.messages",), _pairs("data.messages", "role", "content")),
 )
-#: Tables with a row for each turn: the set of column paths, and (conversation, order, role, text).
-ROW_LAYOUTS = {("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text"), ("content", "conversation_id", "position", "speaker"): ("conversation_id", "position", "speaker", "content")}
+#: Tables with a row for each turn: the paths of conversation, order, role and text.
+ROW_LAYOUTS = (("conv_id", "turn", "role", "text"), ("conversation_id", "position", "speaker", "content"), ("thread.id", "thread.index", "message.role", "message.content"))
 _KNOWN = sorted({p for x in LAYOUTS for p in x.paths})
-_ROW_KNOWN = {p for x in ROW_LAYOUTS for p in x}
 
 
 def field_paths(schema: T.DataType, at: str = "") -> list[str]:
@@ -72,9 +73,14 @@ def field_paths(schema: T.DataType, at: str = "") -> list[str]:
     return []
 
 
+def fingerprint(paths: list[Column]) -> Column:
+    """Hash of the paths, in order, that are not null."""
+    return F.xxhash64(F.concat_ws("|", *paths))
+
+
 def json_fingerprint(v: Column) -> Column:
     """Hash of the known paths that the variant v has."""
-    return F.xxhash64(F.concat_ws("|", *[F.when(F.try_variant_get(v, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in _KNOWN]))
+    return fingerprint([F.when(F.try_variant_get(v, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in _KNOWN])
 
 
 def canonical_turns(records: DataFrame, payload_col: str = "payload") -> DataFrame:
@@ -82,20 +88,31 @@ def canonical_turns(records: DataFrame, payload_col: str = "payload") -> DataFra
     t = records.withColumn("v", F.try_parse_json(payload_col)).withColumn("fingerprint", json_fingerprint(F.col("v")))
     turns, name = F.lit(None).cast(TURNS), F.lit("unknown")
     for x in LAYOUTS:
-        hit = F.col("fingerprint") == F.xxhash64(F.lit("|".join(sorted(x.paths))))
+        hit = F.col("fingerprint") == fingerprint([F.lit(p) for p in sorted(x.paths)])
         turns, name = F.when(hit, F.expr(x.turns).cast(TURNS)).otherwise(turns), F.when(hit, F.lit(x.name)).otherwise(name)
     return t.withColumn("turns", turns).withColumn("layout", name).drop("v", "fingerprint")
 
 
-def row_layout(df: DataFrame) -> tuple[str, str, str, str]:
-    """(conversation, order, role, text) columns of a table with a row for each turn."""
-    have = tuple(sorted(set(field_paths(df.schema)) & _ROW_KNOWN))
-    if have not in ROW_LAYOUTS:
-        for paths, cols in ROW_LAYOUTS.items():
-            if set(paths) <= set(have):
-                return cols
-        raise ValueError(f"no layout has the fields {have}")
-    return ROW_LAYOUTS[have]
+def canonical_rows(df: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text of a table with a row for each turn, each row by the mapping that its fingerprint selects."""
+    have = set(field_paths(df.schema))
+    layouts = [x for x in ROW_LAYOUTS if set(x) <= have]
+    if not layouts:
+        raise ValueError(f"no layout has all its fields in {sorted(have)}")
+    known = sorted({p for x in layouts for p in x})
+    t = df.withColumn("print__", fingerprint([F.when(F.col(p).isNotNull(), F.lit(p)) for p in known]))
+    of: dict[tuple[str, ...], int] = {}
+    for k, x in enumerate(layouts):
+        for n in range(len(x) + 1):
+            for some in combinations(sorted(x), n):
+                of.setdefault(some, k)
+    table = F.create_map(*[y for some, k in of.items() for y in (fingerprint([F.lit(p) for p in some]), F.lit(k))])
+    t = t.withColumn("layout__", F.element_at(table, F.col("print__")))
+
+    def mapped(field: int, kind: str) -> Column:
+        return F.coalesce(*[F.when(F.col("layout__") == k, F.col(x[field]).cast(kind)) for k, x in enumerate(layouts)])
+
+    return t.select(mapped(0, "long").alias("conv_id"), mapped(1, "long").alias("turn"), mapped(2, "string").alias("role"), mapped(3, "string").alias("text"))
 
 
 def escape(x: Column) -> Column:
@@ -133,8 +150,8 @@ def format_rows(rows: DataFrame, block: int = 64) -> DataFrame:
     Turns are first joined in blocks of `block` turn numbers, so that a long conversation is written by many tasks and
     only its finished blocks meet.
     """
-    conv, turn, role, text = map(F.col, row_layout(rows))
-    t = rows.select(conv.alias("conv_id"), F.floor(turn / block).alias("block"), turn.alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+    t = canonical_rows(rows)
+    t = t.select("conv_id", F.floor(F.col("turn") / block).alias("block"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     t = format_turns(t).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "formatted", "mask"))).alias("b"))
     return t.select("conv_id", F.array_join(F.col("b.formatted"), "").alias("formatted"), F.flatten("b.mask").alias("mask"))
