@@ -4,13 +4,14 @@ Words are lower-cased, punctuation deleted. A seed is an n-gram of a test item t
 in the training texts, counted over all of them, is at most `rare`. An item without one uses all its n-grams, an item shorter
 than n its whole as one seed. A document's seed hits are grouped by item and nearness; around each group the item is aligned
 to the passage (match 2, other word -1, gap -1), which finds it through changed, added and missing words. A passage is
-reported if its score is at least `least` of the score of a full copy.
+reported if its score is at least `least` of the score of a full copy; what lies before and after it is then aligned anew, so
+each copy in a document is reported.
 
 Items are taken in blocks of at most `block_items`; the seeds of a block, bounded by that and by the items' lengths, go out
 with the code, and documents are scanned in place, without a shuffle or a limit on hits.
 
-Nulls, ties, repeats: null or empty texts and items match nothing; null ids are carried through; of equally good passages of
-an item in a document the first is reported; repeated documents and items are reported each; empty tables give an empty
+Nulls, ties, repeats: null or empty texts and items match nothing; null ids are carried through; of equally good
+passages that overlap the first is reported; repeated documents and items are reported each; empty tables give an empty
 result; further columns are ignored by find(), kept by decontaminate().
 """
 
@@ -45,7 +46,8 @@ class Seeds:
     items: list[list[int]]  # for each key
     texts: list[np.ndarray]
     ids: list
-    short: dict[int, list[int]] = field(default_factory=dict)  # items of fewer than n words by their length
+    short: dict[int, list[int]] = field(default_factory=dict)  # items of fewer than n words by their first word
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, bool))  # words that such an item begins with
 
 
 def _keys(codes: np.ndarray, n: int) -> np.ndarray:
@@ -70,7 +72,7 @@ def make_seeds(items: list[tuple], shares: dict[bytes, float], n: int, rare: flo
         texts.append(codes)
         ids.append(item_id)
         if len(w) < n:
-            short.setdefault(len(w), []).append(k)
+            short.setdefault(int(codes[0]), []).append(k)
             continue
         logs = np.log10([max(shares.get(x, 0.0), 1e-15) for x in w])
         p = sum(logs[j : len(w) - n + 1 + j] for j in range(n))
@@ -78,7 +80,9 @@ def make_seeds(items: list[tuple], shares: dict[bytes, float], n: int, rare: flo
         for key in np.unique(_keys(codes, n)[ok if ok.any() else slice(None)]).tolist():
             found.setdefault(key, []).append(k)
     keys = np.array(sorted(found), np.uint64)
-    return Seeds(n, vocab, keys, [found[int(x)] for x in keys], texts, ids, short)
+    starts = np.zeros(len(vocab) + 1, bool)
+    starts[list(short)] = True
+    return Seeds(n, vocab, keys, [found[int(x)] for x in keys], texts, ids, short, starts)
 
 
 def _rows(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -122,26 +126,28 @@ def matches(text: bytes, s: Seeds, least: float) -> list[tuple]:
             for place, k in zip(at[s.keys[j] == key].tolist(), j[s.keys[j] == key].tolist(), strict=True):
                 for item in s.items[k]:
                     hits.setdefault(item, []).append(place)
-    for m, own in s.short.items():
-        for item in own:
-            for place in np.flatnonzero(codes[: len(codes) - m + 1] == s.texts[item][0]).tolist() if len(codes) >= m else []:
-                if np.array_equal(codes[place : place + m], s.texts[item]):
-                    hits.setdefault(item, []).append(place)
+    for place in np.flatnonzero(s.starts[codes]).tolist() if s.short else []:
+        for item in s.short[int(codes[place])]:
+            if np.array_equal(codes[place : place + len(s.texts[item])], s.texts[item]):
+                hits.setdefault(item, []).append(place)
     out = []
     for item, places in hits.items():
-        own, best = s.texts[item], None
-        m, k = len(own), 0
+        m, k = len(s.texts[item]), 0
         while k < len(places):
             last = k
             while last + 1 < len(places) and places[last + 1] - places[last] <= 2 * m:
                 last += 1
-            a, b = max(0, places[k] - 2 * m), min(len(codes), places[last] + s.n + 2 * m)
-            score, i, j = align(own, codes[a:b])
-            if best is None or score > best[0]:
-                best = (score, a + i, a + j)
+            todo = [(max(0, places[k] - 2 * m), min(len(codes), places[last] + s.n + 2 * m))]
+            while todo:
+                a, b = todo.pop()
+                near = [x for x in places[k : last + 1] if a <= x < b]
+                if not near:
+                    continue
+                score, i, j = align(s.texts[item], codes[a:b])
+                if score >= least * MATCH * m and score > 0:
+                    out.append((item, score / (MATCH * m), a + i, a + j, sum(a + i <= x <= a + j for x in near)))
+                    todo += [(a + j + 1, b), (a, a + i)]
             k = last + 1
-        if best and best[0] >= least * MATCH * m:
-            out.append((item, best[0] / (MATCH * m), best[1], best[2], len(places)))
     return out
 
 
@@ -190,7 +196,7 @@ def _finder(s: Seeds, least: float):
 
 
 def find(docs: DataFrame, items: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word, seeds of every item found in a document."""
+    """doc_id, item_id, score, first_word, last_word, seeds of every passage of an item in a document."""
     src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     out = None
     for s in seed_blocks(docs, items, text_col=text_col, **options):

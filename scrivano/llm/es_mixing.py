@@ -4,8 +4,9 @@ Every document draws u in (0, 1) from a hash of its id and gets the key -ln(u) /
 documents by ascending key is weighted sampling without replacement. A source's target is reached by complete epochs of
 all its documents and then a fraction: the documents whose prefix sums of words, in key order, stay within the rest.
 
-No source is sorted in one task. Keys fall in buckets by a monotone map to [0, 1); word sums of buckets are summed up by
-source, and only the one bucket of each source that the budget cuts is sorted. Its documents are taken while the middle of
+No source is sorted in one task. Keys fall in buckets by their distribution function, a mixture over the weights that there
+are, so buckets are even whatever the weights; word sums of buckets are summed up by source, and only the one bucket of each
+source that the budget cuts is sorted. Its documents are taken while the middle of
 their span of words is within the budget, so the mix ends at most half a document from its target.
 
 Targets are min(level * weight, cap * size) with the level at which they share all words: what resharing the excess by
@@ -60,11 +61,17 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
     weight: a positive column; by default quality_weight of the text. bucket_rows: about the rows that are sorted together.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(uniform(F.col(id_col).cast("long"), seed)) / (quality_weight(text) if weight is None else weight)).alias("key"), *keep)
+    given = quality_weight(text) if weight is None else weight
+    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(uniform(F.col(id_col).cast("long"), seed)) / given).alias("key"), F.floor(F.log2(given) * 2).cast("int").alias("octave"), *keep)
     words = materialize(words, "sizes")
-    rows = words.count()
+    # weights by half octaves: a few rows, and no more than doubles have
+    octaves = words.groupBy("octave").agg(F.count(F.lit(1)).alias("n")).dropna().orderBy("octave").collect()
+    rows = sum(r["n"] for r in octaves)
     buckets = max(16, rows // bucket_rows)
-    words = words.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets))
+    below = F.lit(0.0)
+    for r in octaves:
+        below = below + F.lit(r["n"] / rows) * (F.lit(1.0) - F.exp(-F.col("key") * F.lit(2.0 ** (r["octave"] / 2 + 0.25))))
+    words = words.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(below * buckets))).drop("octave")
     sums = words.groupBy("source", "bucket").agg(F.sum("size").alias("m"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("m").alias("source_size")), cap, weights)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

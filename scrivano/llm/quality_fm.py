@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, learn_rows: int = 8000, wor
     return fit(rows, t["label"].to_numpy().astype(np.float32), word_bits)
 
 
-def _scorer(m: Machine, at: int):
+def _scorer(m: Machine, at: int, name: str):
     def run(batches):
         for batch in batches:
             scores = np.zeros(batch.num_rows)
@@ -142,7 +142,7 @@ def _scorer(m: Machine, at: int):
                 n = np.array([len(r[0]) for r in own])
                 z = m.logits(np.concatenate([r[0] for r in own]), np.concatenate([r[1] for r in own]), np.cumsum(n) - n)
                 scores[k : k + 64] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
 
     return run
 
@@ -152,4 +152,4 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", name: str = "
     docs = docs.drop(name)
     schema = docs.schema
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(_scorer(model, at), type(schema)([*schema.fields]).add("score", "double")).withColumnRenamed("score", name)
+    return docs.mapInArrow(_scorer(model, at, name), type(schema)([*schema.fields]).add(name, "double"))

@@ -167,7 +167,7 @@ class Model:
     b: float
 
     def total(self, found: list[tuple[tuple[int, int], float]]) -> float:
-        """Each term counts once, by its strongest context, and a little for each further hit."""
+        """Each term counts once for each kind of hit, by its strongest context."""
         best: dict = {}
         for key, factor in found:
             w = self.weight.get(key, 0.0) * factor
@@ -250,12 +250,12 @@ def train(docs: DataFrame, labels: DataFrame, learn, learn_rows: int = 12000, te
     return model
 
 
-def _scorer(model: Model, at: int):
+def _scorer(model: Model, at: int, name: str):
     def run(batches):
         m, memo = Machine(model.words, model.beginnings), {}
         for batch in batches:
             z = np.array([model.total(hits(t or "", m.match, memo)) for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(model.a + model.b * z, -30, 30))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(model.a + model.b * z, -30, 30))))], [*batch.schema.names, name])
 
     return run
 
@@ -264,4 +264,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     """docs with the score, 0 to 1, higher for label 1 likelier; a column of that name is replaced."""
     docs = docs.drop(name)
     schema = docs.schema
-    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col)), type(schema)([*schema.fields]).add("score", "double")).withColumnRenamed("score", name)
+    return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), name), type(schema)([*schema.fields]).add(name, "double"))

@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from scrivano.llm import chat_schema, compact_windows, decontam_sw, es_mixing, golomb_dedup, pst_lm, quality_fm, simhash_vp, token_orc, toxicity_automata
-from scrivano.llm import suffix_tree as st
 from scrivano.llm.common import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -147,7 +146,6 @@ def test_tokens(docs, rows, spark):
 
     path = tokenizer()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = {r.start: r for r in token_orc.token_digest(token_orc.tokens_table(docs, path)).collect()}
     at = 0
     same = sorted(((-1 if i is None else i), t or "") for i, t, *_ in rows)
@@ -164,17 +162,37 @@ def test_piecewise_encoding_equals_whole():
 
     path = tokenizer()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rng = random.Random(2)
     parts = ["a", "the", " ", "  ", "\n", " \n", "\t", "'s", "!", "é", "<|endoftext|>", " ", "　", "12", "\x1c", "x.", " I'll", ",", '."', "word,", "!!"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(800)]
     assert token_orc.encode_texts(texts, path) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
-def test_orc_lookup_prunes(docs, spark, tmp_path):
+def test_orc_has_bloom_filters_and_lookups_skip_row_groups(spark, tmp_path):
     where = f"file://{tmp_path}/t"
-    token_orc.write_tokens(docs, where, tokenizer())
-    assert {r.doc_id for r in token_orc.lookup(spark, where, [1, 2]).collect()} == {1, 2}
+    d = spark.range(6000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    token_orc.write_tokens(d.coalesce(1), where, tokenizer(), stride=1000)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    groups = 0
+    for f in tmp_path.glob("t/*.orc"):
+        path = jvm.org.apache.hadoop.fs.Path(f"file://{f}")
+        reader = jvm.org.apache.orc.OrcFile.createReader(path, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        for stripe in range(reader.getStripes().size()):
+            kinds = [str(x.getKind()) for x in rows.readStripeFooter(reader.getStripes().get(stripe)).getStreamsList()]
+            assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
+            groups += -(-reader.getStripes().get(stripe).getNumberOfRows() // 1000)
+    assert groups >= 6
+    some = {r.doc_id: r for r in token_orc.lookup(spark, where, [4, 6000]).collect()}
+    every = {r.doc_id: r for r in token_orc.read_tokens(spark, where).collect()}
+    assert set(some) == {4, 6000} and all(every[k] == v for k, v in some.items()) and some[6000].start > some[4].start
+    # of an id between those that are there, row groups whose range has it are skipped by the Bloom filter alone
+    scan = spark.read.orc(where).filter("doc_id = 4001").select("doc_id")
+    assert scan.collect() == []
+    plan = scan._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    read = leaf.metrics().get("numOutputRows").get().value()
+    assert read < 1000, read
 
 
 def test_mix_takes_targets(docs, rows, spark):
@@ -193,6 +211,23 @@ def test_mix_takes_targets(docs, rows, spark):
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
 
 
+def test_mix_buckets_are_even_for_small_weights(spark):
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 0.01).otherwise(20.0).alias("w"))
+    seen = []
+    wrapped = es_mixing.join_small
+
+    def spy(left, *rest):
+        seen.append(left.groupBy("bucket").count().agg(F.max("count"), F.count(F.lit(1))).first())
+        return wrapped(left, *rest)
+
+    es_mixing.join_small = spy
+    try:
+        es_mixing.mix(d, weight=F.col("w"))
+    finally:
+        es_mixing.join_small = wrapped
+    assert seen[0][0] <= 2 * 20_000 / 20 and seen[0][1] >= 15
+
+
 def test_mixed_rows_repeat_documents(docs):
     rows = es_mixing.mixed_rows(docs)
     assert rows.columns == docs.columns and rows.count() > 0
@@ -210,6 +245,20 @@ def test_chat_round_trip(spark):
     assert chat_schema.format_rows(df.limit(0)).count() == 0
 
 
+def test_rows_of_several_layouts_in_one_table(spark):
+    schema = "conv_id long, turn long, role string, text string, conversation_id long, position int, speaker string, content string, thread struct<id:long,index:long>, message struct<role:string,content:string>, text2 string"
+    rows = [
+        (1, 0, "user", "a", None, None, None, None, None, None, "x"), (1, 1, "assistant", None, None, None, None, None, None, None, "x"),
+        (None, None, None, None, 2, 1, "assistant", "c", None, None, None), (None, None, None, None, 2, 0, None, "b", None, None, "x"),
+        (None, None, None, None, None, None, None, None, (3, 0), ("user", "d"), "x"), (None, None, None, None, None, None, None, None, (3, 1), ("assistant", "e"), "x"), (None,) * 11,
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_schema.parse(materialize(chat_schema.format_rows(df), "mixed")).collect()}
+    assert got == {1: [("user", "a"), ("assistant", "")], 2: [("", "b"), ("assistant", "c")], 3: [("user", "d"), ("assistant", "e")], None: [("", "")]}
+    with pytest.raises(ValueError):
+        chat_schema.format_rows(df.select("conv_id", "text"))
+
+
 def test_layouts(spark):
     rows = [('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}],"id":3}',), ('{"prompt":"p","response":"r"}',), ('{"instruction":"i","input":"j","output":"o"}',), ('{"conversations":[{"from":"human","value":"h"}]}',), ("no json",), (None,)]
     got = chat_schema.canonical_turns(spark.createDataFrame(rows, "payload string")).collect()
@@ -240,6 +289,21 @@ def labelled(spark):
     return spark.createDataFrame([*rows, (None, None, None, None, None, None)], SCHEMA), spark.createDataFrame([*labels, (None, None, None), (1, None, None)], "doc_id long, quality int, toxic int")
 
 
+@pytest.mark.parametrize("op", [quality_fm, toxicity_automata])
+def test_scores_beside_clashing_columns(spark, op):
+    d, labels = labelled(spark)
+    model = op.train(d, labels.withColumn("text", F.lit("other")).withColumn("score", F.lit(1)), F.lit(True))
+    out = op.score(d, model, name="mine")
+    assert out.columns == [*d.columns, "mine"]
+    want = {r.doc_id: r.score for r in op.score(d, model).collect()}
+    rows = out.collect()
+    assert all(r.mine == want[r.doc_id] for r in rows) and {r.score for r in rows} == {0.0, None}
+    assert op.score(d.limit(0), op.train(d.limit(0), labels, F.lit(True))).count() == 0
+    long = spark.createDataFrame([(1, "wretched " * 300_000), (1, "wretched " * 300_000)], "doc_id long, text string")
+    a, b = (r.score for r in op.score(long, model).collect())
+    assert a == b and 0 <= a <= 1
+
+
 def test_quality_learns(spark):
     d, labels = labelled(spark)
     model = quality_fm.train(d, labels, F.col("doc_id") % 5 != 0)
@@ -293,25 +357,6 @@ def test_quotation_counts_less():
     assert toxicity_automata.context(words, 3) < toxicity_automata.context("well you idiot there".split(), 2)
 
 
-def test_suffix_tree_sums_to_one():
-    rng = np.random.default_rng(2)
-    symbols = rng.integers(10, 14, 4000).astype(np.uint64)
-    symbols[1::2] = symbols[::2]  # something to learn
-    place = np.arange(4000) % 40
-    keys = np.unique(np.concatenate([k for _, k, _ in st.candidates(symbols, place, 0, 2, 1e-3)]))
-    rows = [np.concatenate(x) for x in zip(*[(np.full(len(c[0]), k), *c) for k, *c in st.count(symbols, place, 0, 2, keys)], strict=True)]
-    cols = dict(zip(("k", "key", "ctx", "up_key", "up_ctx", "n"), rows, strict=True))
-    ctx = list(zip(*[(c, n) for _, c, n in st.totals(symbols, place, 0, 2, np.unique(cols["ctx"]))], strict=True))
-    tree = st.build(0, 2, cols, {"ctx": np.concatenate(ctx[0]), "n": np.concatenate(ctx[1])})
-    for history in ([10], [10, 11], [13, 12, 12]):
-        total = 0.0
-        for s in range(10, 15):
-            seq = np.array([2, *history, s], np.uint64)
-            total += tree.probabilities(seq, np.arange(len(seq)), np.full(len(seq), 0.2))[-1]
-        assert total == pytest.approx(1.0)
-    assert len(tree.states) > 1
-
-
 def test_language_model(docs, rows, spark):
     got = pst_lm.pst_scores(docs).collect()
     train = [t or "" for i, t, *_ in rows if zlib.crc32(str("null" if i is None else i).encode()) % 7 != 2]
@@ -338,13 +383,80 @@ def test_language_model_scores_do_not_depend_on_blocks(spark):
     assert a == pytest.approx(b)
 
 
-def test_language_model_counts_pairs_over_all_data(spark):
-    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
-    held = [i for i in range(90) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
-    train = [(i, "left right" if k % 20 == 0 else f"a{k} b{k} c{k} d{k}") for k, i in enumerate(ids)]
-    d = spark.createDataFrame(spark.sparkContext.parallelize([*train, (held[0], "left right"), (held[1], "right left")], 31), "doc_id long, text string")
-    got = {r.doc_id: r.score for r in pst_lm.pst_scores(d).collect()}
-    assert got[held[0]] > got[held[1]] + 0.5
+def suffix_tree(texts, depth=2):
+    """A function of (context, token), None being the end and False the beginning, by counts in dictionaries."""
+    docs = [[False, *t.encode().lower().split(), None] for t in texts]
+    c = Counter(x for d in docs for x in d[1:])
+    n_all, kinds = sum(c.values()), len(c)
+    pairs, ctxs = Counter(), Counter()
+    for d in docs:
+        for i in range(1, len(d)):
+            for k in range(1, min(i, depth) + 1):
+                pairs[tuple(d[i - k : i]), d[i]] += 1
+                ctxs[tuple(d[i - k : i])] += 1
+    following = defaultdict(list)
+    for (ctx, x), n in pairs.items():
+        if n >= 2:
+            following[ctx].append((x, n))
+    states = {}
+
+    def share(ctx, x):
+        if not ctx:
+            return c[x] / n_all
+        if ctx in states and pairs[ctx, x] >= 2:
+            return pairs[ctx, x] / ctxs[ctx]
+        return share(ctx[1:], x)
+
+    def added(x, unit):  # the operator adds its terms as integers
+        return sum(np.rint(np.array(x) * unit)) / unit
+
+    for ctx in sorted(following, key=len):
+        up = [share(ctx[1:], x) for x, _ in following[ctx]]
+        n = [m for _, m in following[ctx]]
+        total = ctxs[ctx]
+        unseen, below = max(1 - sum(n) / total, 1e-12), max(1 - added(up, pst_lm.SHARE_UNIT), 1e-12)
+        gain = 2 * added([m * np.log(m / total / u) for m, u in zip(n, up, strict=True)], pst_lm.GAIN_UNIT) + 2 * total * unseen * np.log(unseen / below)
+        if gain > 3.84 * len(n) + 10:
+            states[ctx] = 1 - sum(m - 0.5 for m in n) / (total + 6)
+
+    def p(ctx, x):
+        if not ctx:
+            return ((c[x] - 0.7) if c[x] else 0.7 * kinds + 1) / (n_all + 1)
+        if ctx not in states:
+            return p(ctx[1:], x)
+        return states[ctx] * p(ctx[1:], x) + ((pairs[ctx, x] - 0.5) / (ctxs[ctx] + 6) if pairs[ctx, x] >= 2 else 0)
+
+    return p, c, states
+
+
+def test_language_model_equals_brute_force(spark):
+    rng = random.Random(8)
+    words = ["the", "tree", "falls", "in", "a", "wood"]
+    texts = []
+    for i in range(300):
+        t = [rng.choice(words), rng.choice(words)]
+        while rng.random() < 0.93:
+            known = [words.index(x) for x in t[-2:] if x in words]
+            t.append(words[(sum(known) + known[0] + 1) % 6] if len(known) == 2 and rng.random() < 0.7 else rng.choice(words))
+            if rng.random() < 0.05:
+                t.append(f"rare{rng.randint(0, 40)}")
+        texts.append(" ".join(t))
+    texts[7], texts[9] = "", None
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(300)]
+    p, c, states = suffix_tree([t or "" for t, h in zip(texts, held, strict=True) if not h])
+    assert len(states) > 10 and max(map(len, states)) == 2
+    for ctx in [(), ("falls".encode(),), *list(states)[:20], *list(states)[-20:]]:
+        assert sum(p(ctx, x) for x in [*c, b"unknown"]) == pytest.approx(1.0)
+    scores = []
+    for parts in (1, 16):
+        d = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), parts), "doc_id long, text string")
+        scores.append({r.doc_id: r for r in pst_lm.pst_scores(d).collect()})
+    for i, t in enumerate(texts):
+        seq = [False, *(t or "").encode().lower().split(), None]
+        want = sum(np.log10(p(tuple(seq[max(0, k - 2) : k]), seq[k])) for k in range(1, len(seq)))
+        assert scores[0][i].score == pytest.approx(want, rel=1e-9)
+        assert scores[0][i].score == pytest.approx(scores[1][i].score, rel=1e-12) and scores[0][i].held_out == held[i]
+    assert sum(r.score for r in scores[0].values() if r.held_out) > sum(r.base_score for r in scores[0].values() if r.held_out)
 
 
 def test_passages(spark):
@@ -373,13 +485,93 @@ def test_passages(spark):
 def test_compact_windows_cover_every_run():
     texts = [b" ".join(b"t%d" % random.Random(k).randint(0, 40) for k in range(j, j + 120)) for j in (0, 7)]
     e, text = compact_windows.block_elements(texts)
-    f, sig, own, at, first, last = compact_windows._block_windows(texts, 20, 3)
+    sig, own, at, first, last = compact_windows._block_windows(e, text, len(texts), 20, 3)
     for i in (0, 1):
         x = e[text == i]
-        for g in range(3):
-            sel = (own == i) & (f == g)
-            assert sorted(s for a, b in zip(first[sel], last[sel], strict=True) for s in range(a, b + 1)) == list(range(len(x) - 19))
-            assert all(a <= c < b + 20 for a, b, c in zip(first[sel], last[sel], at[sel], strict=True))
+        assert sorted(s for a, b in zip(first[own == i], last[own == i], strict=True) for s in range(a, b + 1)) == sorted(3 * list(range(len(x) - 19)))
+        assert all(a <= c < b + 20 for a, b, c in zip(first[own == i], last[own == i], at[own == i], strict=True))
+
+
+def brute_passages(texts, words=50, least=0.8):
+    """Pairs of texts with a passage, by the verification of every offset group that has common elements."""
+    known = compact_windows._Hashes()
+    e = [compact_windows.elements((t or "").encode().lower(), known) for t in texts]
+    out = set()
+    for i in range(len(e)):
+        for j in range(i):
+            p, q = np.nonzero(e[i][:, None] == e[j][None, :]) if len(e[i]) and len(e[j]) else ((), ())
+            groups = set(((np.array(p, np.int64) - np.array(q, np.int64)) // compact_windows.STEP).tolist())
+            if any(compact_windows.verified((i, 0, 0, e[i]), (j, 0, 0, e[j]), g, words - 4, least) for g in groups):
+                out.add((j, i))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_passages_of_edited_chains_equal_brute_force(spark, parts):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(3000)]
+
+    def prose(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    line = prose(9)  # short, in all texts
+    texts = []
+    for _ in range(30):
+        a = prose(60)
+        b = [*a[:20], "edited", *a[21:]]
+        c = [*b[:45], "too", *b[46:]]
+        texts += [" ".join([*prose(60), *line, *prose(30), *x, *prose(60)]) for x in (a, b, c)]
+    texts += ["", None, "a b", " ".join(line * 20), texts[0], texts[0]]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    d = spark.createDataFrame(spark.sparkContext.parallelize([(i, texts[i]) for i in order], parts), "doc_id long, text string")
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in compact_windows.passages(d).collect()}
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in got:
+        up[root(x)] = root(y)
+    want = brute_passages(texts)
+    assert got <= want and len(want) > 60
+    found = sum(root(x) == root(y) for x, y in want)
+    assert found >= len(want) - 1
+    chains = [(3 * g + k, 3 * g + k + 1) for g in range(1, 30) for k in (0, 1)]
+    assert set(chains) <= want and sum(x in got for x in chains) >= len(chains) - 1
+
+
+def test_alignment_equals_plain_smith_waterman():
+    rng = random.Random(13)
+    for _ in range(400):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+        best = max(map(max, h))
+        score, first, last = decontam_sw.align(np.array(a), np.array(b))
+        assert score == best
+        if score:  # the part alone gives the score
+            assert decontam_sw.align(np.array(a), np.array(b[first : last + 1]))[0] == best
+
+
+def test_decontamination_reports_each_copy(spark):
+    rng = random.Random(3)
+    words = [f"u{i}" for i in range(900)]
+    item, short = [rng.choice(words) for _ in range(20)], ["only", "two"]
+    gap = [rng.choice(words) for _ in range(300)]
+    texts = [[*gap, *item, *gap, *item, *item, "changed", *item[1:], *gap], [*short, *gap, *short], gap, item, item]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short)), (2, " ".join(item))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.last_word) for r in decontam_sw.find(d, b).collect())
+    one = [(300, 319), (620, 639), (640, 659), (661, 679)]
+    assert [x for x in got if x[0] == 0] == [(0, i, *x) for i in (0, 2) for x in one]
+    assert [x for x in got if x[0] == 1] == [(1, 1, 0, 1), (1, 1, 302, 303)]
+    assert [x[:2] for x in got if x[0] > 1] == [(3, 0), (3, 2), (4, 0), (4, 2)]
+    assert [r.doc_id for r in decontam_sw.decontaminate(d, b).collect()] == [2]
 
 
 def test_decontamination(spark):
