@@ -57,13 +57,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As materialize, in buckets of key, so that grouping by it again and again moves no rows. The catalog's entry goes at once."""
-    spark, table_name = df.sparkSession, f"scrivano_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, key).option("path", new_path(spark, name)).saveAsTable(table_name)
-    out = spark.table(table_name)
-    spark.sql(f"DROP TABLE {table_name}")  # its files are external and stay
-    return out
+class Buckets:
+    """A table in the shared folder, in buckets of key, so that grouping by it again and again moves no rows; it grows by adding."""
+
+    def __init__(self, spark: SparkSession, name: str, key: str, buckets: int):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.path, self.table = new_path(spark, name), f"scrivano_{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        df.write.mode("append").format("parquet").bucketBy(self.buckets, self.key).option("path", self.path).saveAsTable(self.table)
+        return self.spark.table(self.table)
+
+    def forget(self) -> None:
+        """Drops the catalog's entry; the files are external and stay, for plans that read them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def release(spark: SparkSession) -> None:

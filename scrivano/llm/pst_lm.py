@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, materialize_by, parts_of, release, utf8
+from .common import Buckets, parts_of, release, utf8
 from .golomb_dedup import rice_decode, rice_encode
 
 BLOCK_BYTES = 8 << 20
@@ -338,17 +338,24 @@ def pst_scores(docs: DataFrame, modulus: int = 7, hold: int = 2, depth: int = 2,
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = max(2, parts_of(docs, 16 << 20))
     owner_bits = (parts - 1).bit_length()
-    blocks = materialize_by(src.mapInArrow(_blocker(modulus, hold), _BLOCKS), "blocks", "block", parts)
+    stored, told = Buckets(spark, "blocks", "block", parts), Buckets(spark, "replies", "of", parts)
+    blocks = stored.add(src.mapInArrow(_blocker(modulus, hold), _BLOCKS))
     ends = blocks.select(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
-    replies = materialize(blocks.select("block", "hashes", "counts").mapInArrow(_word_asker(owner_bits), _ASKED).groupBy("kind", "k", "owner").applyInArrow(_owner, _REPLIES), "words")
+
+    def answered(asked: DataFrame) -> DataFrame:
+        """Each reply moves once, to where its block is read."""
+        return told.add(asked.groupBy("kind", "k", "owner").applyInArrow(_owner, _REPLIES).repartition(parts, "of"))
+
+    replies = answered(blocks.select("block", "hashes", "counts").mapInArrow(_word_asker(owner_bits), _ASKED))
     words, kinds = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     n_all, kinds = words + ends, kinds + (ends > 0)
     known = (ends, n_all, kinds, min(64, max(owner_bits + 8, n_all.bit_length() + KEY_BITS)))
     texts = blocks.drop("counts")
     for k in range(1, depth + 2):
         release(spark)
-        asked = texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_asker(k, depth, owner_bits, known), _ASKED)
-        replies = replies.union(materialize(asked.groupBy("kind", "k", "owner").applyInArrow(_owner, _REPLIES), "replies"))
-        del asked
+        replies = answered(texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_asker(k, depth, owner_bits, known), _ASKED))
     release(spark)
-    return texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_scorer(depth, n_all, kinds, known), _SCORES)
+    out = texts.groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(_scorer(depth, n_all, kinds, known), _SCORES)
+    stored.forget()
+    told.forget()
+    return out
