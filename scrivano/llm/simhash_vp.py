@@ -116,21 +116,16 @@ def _dealer(levels: int, radius: int):
     return deal
 
 
-def leaf_links(fp: np.ndarray, home: np.ndarray, bits: int, check: np.ndarray | None = None, check_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def leaf_links(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places that link, as a spanning forest: every pair within bits, one of it at home, ends up connected."""
-    x, y = fp.view(np.uint64), None if check is None else check.view(np.uint64)
-
-    def near(rows, cols):
-        out = np.bitwise_count(x[rows] ^ x[cols]) <= bits
-        return out if y is None else out & (np.bitwise_count(y[rows] ^ y[cols]) <= check_bits)
-
+    x = fp.view(np.uint64)
     own = np.flatnonzero(home)
     every = np.arange(len(x))
     linked = np.zeros(len(x), bool)
     step = max(1, 2_000_000 // max(1, len(x)))
     for k in range(0, len(own), step):
         rows = own[k : k + step]
-        close = near(rows[:, None], every[None, :])
+        close = np.bitwise_count(x[rows][:, None] ^ x[every][None, :]) <= bits
         hit = np.count_nonzero(close, axis=1) > 1  # each is near itself
         linked[rows[hit]] = True
         linked |= close[hit].any(axis=0)
@@ -140,7 +135,7 @@ def leaf_links(fp: np.ndarray, home: np.ndarray, bits: int, check: np.ndarray |
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             c = queue.pop()
-            close = near(left, c)
+            close = np.bitwise_count(x[left] ^ x[c]) <= bits
             if close.any():
                 found = left[close]
                 us.append(np.full(len(found), c))
@@ -150,22 +145,55 @@ def leaf_links(fp: np.ndarray, home: np.ndarray, bits: int, check: np.ndarray |
     return (np.concatenate(us), np.concatenate(vs)) if us else (own[:0], own[:0])
 
 
-def _linker(bits: int, check_bits: int | None):
+def nearest_links(x: np.ndarray, y: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose two fingerprints differ by most bits together, as a minimum spanning forest: each is linked through its
+    nearest, so that links are the likeliest to be verified."""
+
+    def apart(rows, cols):
+        return np.bitwise_count(x[rows] ^ x[cols]) + np.bitwise_count(y[rows] ^ y[cols])
+
+    own = np.flatnonzero(home)
+    every = np.arange(len(x))
+    linked = np.zeros(len(x), bool)
+    step = max(1, 2_000_000 // max(1, len(x)))
+    for k in range(0, len(own), step):
+        rows = own[k : k + step]
+        close = apart(rows[:, None], every[None, :]) <= most
+        hit = np.count_nonzero(close, axis=1) > 1
+        linked[rows[hit]] = True
+        linked |= close[hit].any(axis=0)
+    left = np.flatnonzero(linked)
+    us, vs = [], []
+    best, via = np.full(len(left), 255, np.uint8), np.zeros(len(left), np.int64)
+    while len(left):
+        k = int(best.argmin())
+        c = left[k]
+        if best[k] <= most:
+            us.append(via[k])
+            vs.append(c)
+        left, best, via = np.delete(left, k), np.delete(best, k), np.delete(via, k)
+        d = apart(left, c)
+        nearer = d < best
+        best[nearer], via[nearer] = d[nearer], c
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def _linker(bits: int, most: int | None):
     def link(t: pa.Table) -> pa.Table:
         node, fp, check, home = (t.column(c).to_numpy() for c in ("node", "fp", "check", "home"))
         order = np.lexsort((~home, node))  # a node once, at home if it is
         node, fp, check, home = node[order], fp[order], check[order], home[order]
         first = np.append(True, node[1:] != node[:-1])
         node = node[first]
-        u, v = leaf_links(fp[first], home[first], bits, None if check_bits is None else check[first], check_bits or 64)
-        return pa.table({"u": pa.array(node[u]), "v": pa.array(node[v])})
+        u, v = leaf_links(fp[first], home[first], bits) if most is None else nearest_links(fp[first].view(np.uint64), check[first].view(np.uint64), home[first], most)
+        return pa.table({"u": pa.array(node[u], pa.int64()), "v": pa.array(node[v], pa.int64())})
 
     return link
 
 
-def links(prints: DataFrame, bits: int, rows: int, check_bits: int | None = None, leaf_rows: int = 20000) -> DataFrame:
-    """prints: node, fp, check, distinct. u, v: nodes; links that connect whatever is within bits in fp and within check_bits
-    in check."""
+def links(prints: DataFrame, bits: int, rows: int, most: int | None = None, leaf_rows: int = 20000) -> DataFrame:
+    """prints: node, fp, check, distinct. u, v: nodes; links that connect whatever is within bits in fp. With most: whatever is
+    within bits / 4 in a block of fp and within most in fp and check together."""
     levels = int(np.clip(np.ceil(np.log2(max(1, rows) / 512)), 2, 14))
     dealt = prints.select("node", "fp", "check").mapInArrow(_dealer(levels, bits // BLOCKS), "shard int, node long, fp long, check long, home boolean")
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("g")).filter("g > 1")
@@ -173,7 +201,40 @@ def links(prints: DataFrame, bits: int, rows: int, check_bits: int | None = None
     chunk = F.pmod(F.xxhash64("node"), F.col("g"))
     pairs = F.when(F.col("g").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda k: F.struct(F.least(chunk, k).alias("a"), F.greatest(chunk, k).alias("b"))))
     dealt = dealt.select("shard", "node", "fp", "check", "home", F.explode(pairs).alias("p")).select("shard", "node", "fp", "check", "home", "p.a", "p.b")
-    return dealt.groupBy("shard", "a", "b").applyInArrow(_linker(bits, check_bits), "u long, v long")
+    return dealt.groupBy("shard", "a", "b").applyInArrow(_linker(bits, most), "u long, v long")
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the word shingles; the whole sequence if there are fewer words."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint32)
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(w[k : k + words])) for k in range(max(1, len(w) - words + 1))], np.uint32))
+
+
+def _shingler(words: int):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t, words).tobytes() for t in utf8(batch.column("text"))], pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def _checker(least: float):
+    """Links whose shingle sets have a Jaccard similarity of least."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(x) + len(y)
+                common = both - len(np.unique(np.concatenate([x, y])))
+                keep.append(common >= least * (both - common) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("u", "v")], ["u", "v"])
+
+    return run
 
 
 def _rows(docs: DataFrame, words: int, second: bool, id_col: str, text_col: str) -> DataFrame:
@@ -198,26 +259,34 @@ def simhash_components(docs: DataFrame, bits: int = 4, words: int = 4, id_col: s
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 7, check_bits: int = 16, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, most: int = 32, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least id (null last).
 
-    Two fingerprints, of independent hashes, are taken; texts link if one is within bits and the other within check_bits, so
-    unlike texts meet by chance with 2e-15 a pair, and texts of similarity 0.9 in five-word shingles are missed by both with
-    about 0.15 a pair, in groups by less.
+    Two fingerprints, of independent hashes, are taken. Candidates are texts that differ by at most one bit in one of their eight
+    blocks, and by at most `most` of all 128 bits: of texts of similarity 0.8 in five-word shingles about 0.93 of the pairs, of
+    0.9 0.99; unlike texts meet with 1e-8 a pair. Candidates link if the similarity of their shingle sets is at least `least`.
     """
     rows = _rows(docs, words, True, id_col, text_col).withColumn("node", F.xxhash64("fp", "check"))
     rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("key").alias("k"))
     nodes = materialize(rows.groupBy("node", "fp", "check").agg(F.min(rank).alias("rep")), "prints")
     n = nodes.count()
-    found = links(nodes, bits, n, check_bits).unionByName(links(nodes.select("node", F.col("check").alias("fp"), F.col("fp").alias("check")), bits, n, check_bits))
-    comp = materialize(components(found), "components")
+    found = links(nodes, BLOCKS, n, most).unionByName(links(nodes.select("node", F.col("check").alias("fp"), F.col("fp").alias("check")), BLOCKS, n, most))
+    found = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "candidates")
+    # the texts that candidates stand for, once each
+    of = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
+    of = materialize(nodes.join(of, "node").select("node", F.col("rep.d").alias("d__"), F.col("rep.k").alias("k__")), "asked")
+    own = docs.withColumn("d__", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("k__", row_key(id_col, text_col))
+    asked = of.count()
+    texts = join_small(own.select("d__", "k__", F.col(text_col).cast("string").alias("text")), of, ["d__", "k__"], "inner", asked, 48)
+    sets = materialize(texts.select("node", "text").mapInArrow(_shingler(words), "node long, shingles binary"), "shingles").dropDuplicates(["node"])
+    both = found.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    comp = materialize(components(both.select("u", "v", "a", "b").mapInArrow(_checker(least), "u long, v long")), "components")
     named = join_small(nodes, comp, ["node"], "left", comp.count(), 32).withColumn("label", F.coalesce("label", "node"))
-    stays = named.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.k").alias("key"))
-    keys = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(stays.withColumn("stays", F.lit(True)), "key", "left"), "stays")
-    gone, many = keys.filter("stays is null").select("key"), keys.filter("stays and copies > 1").select("key")
-    own = docs.withColumn("key__", row_key(id_col, text_col))
-    out = join_small(own, gone.withColumnRenamed("key", "key__"), ["key__"], "left_anti", gone.count(), 24)
+    stays = named.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.d").alias("d__"), F.col("rep.k").alias("k__"))
+    named_rows = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d__"), F.col("key").alias("k__"))
+    keys = materialize(named_rows.groupBy("d__", "k__").agg(F.count(F.lit(1)).alias("copies")).join(stays.withColumn("stays", F.lit(True)), ["d__", "k__"], "left"), "stays")
+    gone, many = keys.filter("stays is null").select("d__", "k__"), keys.filter("stays and copies > 1").select("d__", "k__")
+    out = join_small(own, gone, ["d__", "k__"], "left_anti", gone.count(), 32)
     if m := many.count():  # repeated rows: one of each stays
-        many = many.withColumnRenamed("key", "key__")
-        out = join_small(out, many, ["key__"], "left_anti", m, 24).unionByName(join_small(own, many, ["key__"], "left_semi", m, 24).dropDuplicates(["key__"]))
-    return out.drop("key__")
+        out = join_small(out, many, ["d__", "k__"], "left_anti", m, 32).unionByName(join_small(own, many, ["d__", "k__"], "left_semi", m, 32).dropDuplicates(["d__", "k__"]))
+    return out.drop("d__", "k__")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, parts_of, worker_cache
 
-MEMO = 500_000  # pieces of a generation
+MEMO = 300_000  # pieces of a generation
 _LETTER, _MARK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u20ac"
 #: The pre-tokenizer's pieces, for texts of these letters, marks, digits, spaces and line feeds.
 _PIECE = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|[ \n]+(?![^ \n])|[ \n]+"

@@ -132,10 +132,30 @@ def test_keep_one(docs, rows, spark):
     got = simhash_vp.keep_one(docs)
     assert got.columns == docs.columns
     ids = sorted(r.doc_id for r in got.collect() if r.doc_id is not None)
-    assert len(ids) == len(set(ids)) and {60, 61, 62}.isdisjoint(ids) and 3 in ids and 0 in ids
+    assert len(ids) == len(set(ids)) and {60, 61, 62}.isdisjoint(ids) and 3 in ids and 0 in ids and got.filter("doc_id is null").count() == 1
     assert simhash_vp.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_finds_near_copies(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    rows, pairs = [], []
+    for g in range(300):
+        t = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        u = list(t)
+        for _ in range(rng.randint(1, max(1, len(t) // 55))):
+            u[rng.randrange(len(u))] = "changed"
+        rows += [(2 * g, " ".join(t)), (2 * g + 1, " ".join(u))]
+        a, b = (set(zip(*[x[k:] for k in range(5)])) for x in (t, u))
+        pairs.append(len(a & b) / len(a | b))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_vp.keep_one(d).collect()}
+    assert all(2 * g in kept for g in range(300))
+    alike = [g for g, j in enumerate(pairs) if j >= 0.8]
+    assert len(alike) > 150 and sum(2 * g + 1 not in kept for g in alike) >= 0.93 * len(alike)
+    assert all(2 * g + 1 in kept for g, j in enumerate(pairs) if j < 0.8)
+
+
 def tokenizer():
     P = pytest.importorskip("public_tokenizers")
     return str(P.path("byte_bpe_50k.json"))
