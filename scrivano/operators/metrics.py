@@ -12,16 +12,26 @@ from ..functions.text import cer, metric_syllables
 def prf(df: DataFrame, keys: list[str], predicted, target) -> DataFrame:
     """keys (unique) with precision, recall and f1 of two token arrays: place by place, classes weighted by gold support, the
     shorter padded with empty tokens. Two empty arrays give nulls."""
-    n = F.greatest(F.size("p__"), F.size("t__"))
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.coalesce(F.get("p__", i), F.lit("")).alias("p"), F.coalesce(F.get("t__", i), F.lit("")).alias("t")))
-    rows = df.select(*keys, predicted.alias("p__"), target.alias("t__")).withColumn("n", n)
-    flat = rows.filter("n > 0").select(*keys, "n", F.explode(pairs).alias("x")).select(*keys, "n", F.explode(F.array(F.struct(F.col("x.t").alias("token"), F.lit(1).alias("sup"), F.lit(0).alias("pred"), (F.col("x.t") == F.col("x.p")).cast("int").alias("tp")), F.struct(F.col("x.p").alias("token"), F.lit(0).alias("sup"), F.lit(1).alias("pred"), F.lit(0).alias("tp")))).alias("y"))
-    tokens = flat.groupBy(*keys, "n", "y.token").agg(F.sum("y.sup").alias("sup"), F.sum("y.pred").alias("pred"), F.sum("y.tp").alias("tp"))
-    w = F.col("sup") / F.col("n")
-    p = F.sum(F.when(F.col("pred") > 0, w * F.col("tp") / F.col("pred")).otherwise(F.lit(0.0)))
-    f1 = F.sum(w * 2 * F.col("tp") / (F.col("sup") + F.col("pred")))
-    out = tokens.groupBy(*keys).agg(p.alias("precision"), (F.sum("tp") / F.max("n")).alias("recall"), f1.alias("f1"))
-    return rows.filter("n = 0").select(*keys, *[F.lit(None).cast("double").alias(c) for c in ("precision", "recall", "f1")]).unionByName(out)
+    rows = df.select(*keys, predicted.alias("p"), target.alias("t")).withColumn("n", F.greatest(F.size("p"), F.size("t")))
+
+    def padded(name: str):
+        return F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.get(name, i), F.lit("")))).otherwise(F.array().cast("array<string>"))
+
+    rows = rows.select(*keys, "n", padded("p").alias("p"), padded("t").alias("t"))
+    hits = F.zip_with("p", "t", lambda x, y: F.when(x == y, y))  # nulls where they differ
+
+    def count(array, token):
+        return F.size(F.filter(array, lambda x: x == token))
+
+    # within the row; classes without gold support weigh nothing
+    rows = rows.withColumn("hits", hits).withColumn("classes", F.transform(F.array_distinct("t"), lambda c: F.struct(count("t", c).alias("sup"), count("p", c).alias("pred"), count("hits", c).alias("tp"))))
+
+    def total(value):
+        return F.when(F.col("n") > 0, F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + value(c)))
+
+    precision = total(lambda c: F.when(c["pred"] > 0, c["sup"] / F.col("n") * c["tp"] / c["pred"]).otherwise(F.lit(0.0)))
+    f1 = total(lambda c: c["sup"] / F.col("n") * 2 * c["tp"] / (c["sup"] + c["pred"]))
+    return rows.select(*keys, precision.alias("precision"), total(lambda c: c["tp"] / F.col("n")).alias("recall"), f1.alias("f1"))
 
 
 def evaluate(predictions: DataFrame, category: str, keys: list[str], profile: ScriptProfile = TIBETAN, predicted: str = "prediction", target: str = "target") -> DataFrame:

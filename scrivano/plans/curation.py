@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.profile import LATIN
-from ..operators import curate, lexicon, metrics, pairs as P, report
+from ..operators import curate, lexicon, metrics, pairs as P, rank, report, training
 from ..registry import query
-from .fixtures import CLASS_SQL, PAIRS_SQL, pairs, table
+from ..sources import tables
+from .fixtures import CLASS_SQL, PAIRS_SQL, edits, one_byte, pairs, table
 
 ONE = "one AS (SELECT 1) "
 
@@ -122,23 +123,26 @@ def artifact_flags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.has_latin(h).alias("has_latin"), X.has_brackets(h).alias("has_brackets"), F.size(X.latin_runs(h)).alias("n_runs"), F.length(X.strip_brackets(h)).alias("stripped_chars"), X.has_leading_digits(h).alias("leading_digits"))
 
 
-@query(
-    PAIRS_SQL
-    + "q AS (SELECT DISTINCT source AS q FROM pairs WHERE split = 'test' AND length(source) <= 40), b AS (SELECT DISTINCT source AS b FROM pairs WHERE split = 'train' AND length(source) <= 45) SELECT q AS source, coalesce((SELECT min(levenshtein(q, b)) FROM b WHERE abs(length(q) - length(b)) <= 5 AND levenshtein(q, b) <= 5), 999)::INTEGER AS distance FROM q"
+_NEAR = (
+    "q AS (SELECT source, "
+    + one_byte("source")
+    + " AS q, count(*) AS n FROM pairs WHERE split = 'test' GROUP BY 1), b AS (SELECT DISTINCT "
+    + one_byte("source")
+    + " AS b, length(source) AS m FROM pairs WHERE split = 'train'), d AS (SELECT source, n, coalesce((SELECT min(levenshtein(q, b)) FROM b WHERE m BETWEEN length(q) - 5 AND length(q) + 5 AND levenshtein(q, b) <= 5), 999)::INTEGER AS distance FROM q) "
 )
+
+
+@query(PAIRS_SQL + _NEAR + "SELECT source, distance FROM d")
 def nearest_train_source(spark, sf_dir):
     t = pairs(spark, sf_dir)
-    return lexicon.nearest(t.filter("split = 'test' and length(source) <= 40"), t.filter("split = 'train' and length(source) <= 45"))
+    return lexicon.nearest(t.filter("split = 'test'"), t.filter("split = 'train'"))
 
 
-@query(
-    PAIRS_SQL
-    + "q AS (SELECT source AS q, count(*) AS n FROM pairs WHERE split = 'test' AND length(source) <= 40 GROUP BY 1), b AS (SELECT DISTINCT source AS b FROM pairs WHERE split = 'train' AND length(source) <= 45), d AS (SELECT q, n, coalesce((SELECT min(levenshtein(q, b)) FROM b WHERE abs(length(q) - length(b)) <= 5 AND levenshtein(q, b) <= 5), 999) AS d FROM q) SELECT w AS within, coalesce(sum(n) FILTER (d <= w), 0)::BIGINT AS n_rows, count(*) FILTER (d <= w) AS n_texts FROM d, (VALUES (1), (2), (3), (5)) v(w) GROUP BY w"
-)
+@query(PAIRS_SQL + _NEAR + "SELECT w AS within, coalesce(sum(n) FILTER (distance <= w), 0)::BIGINT AS n_rows, count(*) FILTER (distance <= w) AS n_texts FROM d, (VALUES (1), (2), (3), (5)) v(w) GROUP BY w")
 def neighbour_counts(spark, sf_dir):
     t = pairs(spark, sf_dir)
-    q = t.filter("split = 'test' and length(source) <= 40")
-    return lexicon.neighbour_counts(q, lexicon.nearest(q, t.filter("split = 'train' and length(source) <= 45")))
+    q = t.filter("split = 'test'")
+    return lexicon.neighbour_counts(q, lexicon.nearest(q, t.filter("split = 'train'")))
 
 
 @query(PAIRS_SQL + "g AS (SELECT page_id, segment_idx, target, min(source) FILTER (source_role = 'annotator_a') AS a, min(source) FILTER (source_role = 'annotator_b') AS b FROM pairs GROUP BY 1, 2, 3) SELECT count(*) AS n_both, count(*) FILTER (a = b) AS n_equal FROM g WHERE a IS NOT NULL AND b IS NOT NULL")
@@ -172,7 +176,7 @@ def noop_baseline(spark, sf_dir):
     return out.select("batch_name", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "n")
 
 
-@query(PAIRS_SQL + ONE + "SELECT row_id, levenshtein(source, target) / nullif(length(target), 0)::DOUBLE AS cer FROM pairs")
+@query(PAIRS_SQL + ONE + f"SELECT row_id, {edits('source', 'target')} / nullif(length(target), 0)::DOUBLE AS cer FROM pairs")
 def character_error_rate(spark, sf_dir):
     return metrics.error_rates(pairs(spark, sf_dir), "source").select("row_id", "cer")
 
@@ -202,7 +206,7 @@ def substitution_table(spark, sf_dir):
 
 @query()
 def similarity_gate(spark, sf_dir):
-    return report.similarity_histogram(P.similarity_gate(pairs(spark, sf_dir), 0.0))
+    return report.similarity_histogram(P.similarity_gate(pairs(spark, sf_dir), 0.97))
 
 
 @query()
@@ -214,7 +218,7 @@ def near_cutoff_drops(spark, sf_dir):
 
 def pages(spark, sf_dir):
     """Documents as annotation pages: the second annotator swaps two letters throughout."""
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
+    d = table(spark, sf_dir, "documents")
     t = F.col("text")
     return d.select(F.col("doc_id").alias("row_id"), F.col("source").alias("batch_name"), F.col("doc_id").cast("string").alias("image_id"), F.col("doc_id").cast("string").alias("task_id"), F.lit("done").alias("state"), F.regexp_replace(t, "qu", "q").alias("annotator_a_transcript"), F.translate(t, "y", "i").alias("annotator_b_transcript"), t.alias("final_reviewer_transcript"))
 
@@ -231,9 +235,51 @@ def greedy_sentence_pairs(spark, sf_dir):
 
 
 @query(
-    r"""WITH p AS (SELECT doc_id, source AS batch_name, text, regexp_replace(text, 'qu', 'q', 'g') AS a, translate(text, 'y', 'i') AS b FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')),
+    r"""WITH p AS (SELECT doc_id, source AS batch_name, text, regexp_replace(text, 'qu', 'q', 'g') AS a, translate(text, 'y', 'i') AS b FROM documents),
 l AS (SELECT batch_name, doc_id::VARCHAR AS image_id, 'annotator_a' AS source_role, a AS source, text AS target FROM p UNION ALL SELECT batch_name, doc_id::VARCHAR, 'annotator_b', b, text FROM p)
 SELECT batch_name, image_id, source_role, length(source)::INTEGER AS source_chars, length(target)::INTEGER AS target_chars FROM l WHERE source <> target AND lower(trim(source)) NOT IN ('', 'nan', 'none', 'null')"""
 )
 def page_pairs(spark, sf_dir):
     return P.page_pairs(pages(spark, sf_dir)).select("batch_name", "image_id", "source_role", "source_chars", "target_chars")
+
+
+_EXPORTED = "e AS (SELECT 'sentence' AS level, identical, batch_name, source, target FROM pairs UNION ALL SELECT 'page', s = text, batch_name, s, text FROM (SELECT source AS batch_name, text, regexp_replace(text, 'qu', 'q', 'g') AS s FROM documents) UNION ALL SELECT 'page', s = text, batch_name, s, text FROM (SELECT source AS batch_name, text, translate(text, 'y', 'i') AS s FROM documents)) "
+
+
+@query(PAIRS_SQL + _EXPORTED + "SELECT CASE WHEN identical THEN 'identical' ELSE 'differing' END || '_' || level AS name, count(*) AS n, sum(length(source))::BIGINT AS source_chars, sum(length(target))::BIGINT AS target_chars FROM e WHERE level = 'sentence' OR lower(trim(source)) NOT IN ('', 'nan', 'none', 'null') GROUP BY 1")
+def exported_tables(spark, sf_dir):
+    """The four tables that an export writes, summed up."""
+    out = None
+    for name, t in tables.export_tables(pairs(spark, sf_dir), P.page_pairs(pages(spark, sf_dir), require_diff=False)).items():
+        own = t.select(F.lit(name).alias("name"), "source", "target")
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source")).alias("source_chars"), F.sum(F.length("target")).alias("target_chars"))
+
+
+_LOADED = "loaded AS (SELECT row_id, source, target, diff_category FROM classified WHERE split = 'train' AND length(source) <= 60 AND length(target) <= 60 AND diff_category <> 'multi_edit' UNION ALL SELECT row_id, source, target, 'identical' FROM pairs WHERE identical AND split = 'train' AND length(source) <= 60 AND length(target) <= 60) "
+
+
+def _loaded(spark, sf_dir):
+    t = pairs(spark, sf_dir)
+    return training.load(P.categorize(t.filter("not identical"), LATIN), t.filter("identical"), "train", 60, ("multi_edit",))
+
+
+@query(PAIRS_SQL + CLASS_SQL + _LOADED + "SELECT * FROM loaded")
+def training_rows(spark, sf_dir):
+    return _loaded(spark, sf_dir).select("row_id", "source", "target", "diff_category")
+
+
+@query(PAIRS_SQL + CLASS_SQL + _LOADED + "SELECT diff_category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM loaded GROUP BY 1")
+def training_composition(spark, sf_dir):
+    return training.composition(_loaded(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query(PAIRS_SQL + ONE + "SELECT count(DISTINCT target) AS n_targets, round(count(DISTINCT target) / count(*), 9) AS ratio, round(count(*) / count(DISTINCT target), 9) AS rows_per_target FROM pairs")
+def target_diversity(spark, sf_dir):
+    t = report.diversity(pairs(spark, sf_dir), "target")
+    return t.select("n_targets", F.round("ratio", 9).alias("ratio"), F.round("rows_per_target", 9).alias("rows_per_target"))
+
+
+@query(PAIRS_SQL + ONE + "SELECT row_id, source FROM pairs WHERE NOT identical ORDER BY row_id LIMIT 40 OFFSET 10")
+def first_examples(spark, sf_dir):
+    return rank.first(pairs(spark, sf_dir).filter("not identical"), 40, "row_id", skip=10).select("row_id", "source")

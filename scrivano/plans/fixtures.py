@@ -15,9 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of the ASCII documents."""
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", F.col("source").alias("batch_name"), F.posexplode(segments(F.col("text"), LATIN, 8)).alias("segment_idx", "target"))
+    """Sentences of the documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("batch_name"), F.posexplode(segments(F.col("text"), LATIN, 8)).alias("segment_idx", "target"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ gold AS (SELECT doc_id, batch_name, (k - 1)::INTEGER AS segment_idx, l[k] AS tar
   SELECT doc_id, batch_name, l, unnest(range(1, len(l) + 1)) AS k FROM (
     SELECT doc_id, source AS batch_name, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '\r\n?|\n', '', 'g'), '[^.!?]+[.!?]?'),
       lambda s: trim(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '\s+([.!?])', '\1', 'g'))), lambda s: length(s) >= 8) AS l
-    FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')))),
+    FROM documents))),
 """
 PAIRS_SQL = (
     "WITH "
@@ -56,11 +55,29 @@ pairs AS (SELECT *, source = target AS identical, min(source) OVER w = max(sourc
   min(source) OVER w = max(source) OVER w AND source <> target AS high_confidence_error FROM e3 WINDOW w AS (PARTITION BY doc_id, segment_idx)),
 """
 )
-CLASS_SQL = r"""
-classified AS (SELECT *, levenshtein(source, target) AS edit_distance, CASE
+#: The letters beyond ASCII that documents have, and bytes that none has: DuckDB's levenshtein counts bytes, so they are exchanged.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
+
+
+def one_byte(column: str) -> str:
+    return f"translate({column}, '{_LETTERS}', '{_BYTES}')"
+
+
+def edits(a: str, b: str) -> str:
+    """SQL of the edit distance by letters."""
+    return f"levenshtein({one_byte(a)}, {one_byte(b)})"
+
+
+CLASS_SQL = (
+    "apart AS (SELECT *, "
+    + edits("source", "target")
+    + r""" AS edit_distance FROM pairs WHERE NOT identical),
+classified AS (SELECT *, CASE
   WHEN regexp_replace(source, '[.!? ,;:"''()\[\]\-]|\s', '', 'g') = regexp_replace(target, '[.!? ,;:"''()\[\]\-]|\s', '', 'g') THEN 'punctuation_only'
-  WHEN levenshtein(source, target) = 1 AND length(source) = length(target) THEN 'single_char_substitution'
-  WHEN levenshtein(source, target) = 1 THEN 'single_char_insert_delete'
-  WHEN levenshtein(source, target) > 5 OR levenshtein(source, target) / greatest(length(source), length(target), 1)::DOUBLE > 0.30 THEN 'large_rewrite'
-  WHEN contains(source, ' ') OR contains(target, ' ') THEN 'syllable_level' ELSE 'multi_edit' END AS diff_category FROM pairs WHERE NOT identical),
+  WHEN edit_distance = 1 AND length(source) = length(target) THEN 'single_char_substitution'
+  WHEN edit_distance = 1 THEN 'single_char_insert_delete'
+  WHEN edit_distance > 5 OR edit_distance / greatest(length(source), length(target), 1)::DOUBLE > 0.30 THEN 'large_rewrite'
+  WHEN contains(source, ' ') OR contains(target, ' ') THEN 'syllable_level' ELSE 'multi_edit' END AS diff_category FROM apart),
 """
+)

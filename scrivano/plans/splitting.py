@@ -139,18 +139,18 @@ def training_mix(spark, sf_dir):
     return rank.with_identical(t.filter("not identical"), t.filter("identical"), 0.1, F.col("row_id")).select("row_id", "identical")
 
 
-@query("WITH f AS (SELECT p_partkey % 50 AS ipa, substr(p_name, 1, 6) AS syllable FROM part) SELECT DISTINCT l.syllable AS a, r.syllable AS b FROM f l JOIN f r USING (ipa) WHERE l.syllable <> r.syllable AND levenshtein(l.syllable, r.syllable) <= 2")
+@query("WITH f AS (SELECT DISTINCT p_partkey % 50 AS ipa, p_name || ' ' || p_partkey % 11 AS syllable FROM part) SELECT DISTINCT l.syllable AS a, r.syllable AS b FROM f l JOIN f r USING (ipa) WHERE l.syllable <> r.syllable AND levenshtein(l.syllable, r.syllable) <= 2")
 def homophone_edges(spark, sf_dir):
-    t = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("ipa"), F.left("p_name", F.lit(6)).alias("syllable"))
+    t = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("ipa"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 11).cast("string")).alias("syllable"))
     return lexicon.homophone_edges(t)
 
 
 @query(
-    "WITH f AS (SELECT p_brand AS lemma, p_name || p_partkey AS form, p_type AS tag, p_size % 3 AS ipa FROM part WHERE p_partkey <= 400), r AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY form, tag) AS k FROM f) SELECT a.lemma, a.form AS form_a, a.tag AS tag_a, b.form AS form_b, b.tag AS tag_b, a.ipa FROM r a JOIN r b ON a.lemma = b.lemma AND a.ipa = b.ipa WHERE a.k < b.k AND a.form <> b.form AND a.tag <> b.tag"
+    "WITH f AS (SELECT p_brand || ' ' || p_name AS lemma, p_name || p_partkey AS form, p_type || p_partkey % 5 AS tag, p_size % 3 AS ipa FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY form, tag) AS k FROM f) SELECT a.lemma, a.form AS form_a, a.tag AS tag_a, b.form AS form_b, b.tag AS tag_b, a.ipa FROM r a JOIN r b ON a.lemma = b.lemma AND a.ipa = b.ipa WHERE a.k < b.k AND a.form <> b.form AND a.tag <> b.tag"
 )
 def verb_homophone_pairs(spark, sf_dir):
-    t = table(spark, sf_dir, "part").filter("p_partkey <= 400")
-    return lexicon.verb_pairs(t.select(F.col("p_brand").alias("lemma"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("form"), F.col("p_type").alias("tag"), (F.col("p_size") % 3).alias("ipa")))
+    name = F.concat("p_name", F.col("p_partkey").cast("string"))
+    return lexicon.verb_pairs(table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_name").alias("lemma"), name.alias("form"), F.concat("p_type", (F.col("p_partkey") % 5).cast("string")).alias("tag"), (F.col("p_size") % 3).alias("ipa")))
 
 
 @query(
@@ -194,7 +194,7 @@ def upper_median_length(spark, sf_dir):
 
 def _synth(spark, sf_dir):
     t = pairs(spark, sf_dir).select(F.col("batch_name").alias("source_corpus"), F.col("target").alias("sentence"))
-    return merge.synthesize(t, 100, 42, p=LATIN, check=lambda x: x.rlike("^[!-~]+$"))
+    return merge.synthesize(t, 100, 42, p=LATIN, check=lambda x: x.rlike("^[!-~\\u00c0-\\u00ff]+$"))
 
 
 @query()
