@@ -105,15 +105,19 @@ def inline_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+LONG = 1000
+
+
 def _blocks(a: str, b: str) -> list[tuple[int, int, int]]:
-    """Matching blocks of a and b: whole words first, characters between them, so that long pages stay cheap."""
-    x, y = (re.findall(r"[^\s་༌]+[་༌]?|\s+|[་༌]", s) for s in (a, b))
+    """Matching blocks of a and b: whole words first, characters between them; in pages of over LONG words those that make up
+    more than a hundredth match only beside rarer ones, so that long pages stay cheap."""
+    x, y = (re.findall(r"\s*[^\s་༌]+[་༌]?|\s+|[་༌]", s) for s in (a, b))
     at, bt = [0], [0]
     for own, ends in ((x, at), (y, bt)):
         for w in own:
             ends.append(ends[-1] + len(w))
     out = []
-    for op, i, j, k, w in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+    for op, i, j, k, w in SequenceMatcher(None, x, y, autojunk=len(y) > LONG).get_opcodes():
         if op == "equal":
             out.append((at[i], bt[k], at[j] - at[i]))
         elif op == "replace" and (at[j] - at[i]) * (bt[w] - bt[k]) <= 250_000:
