@@ -13,7 +13,7 @@ from scrivano import registry
 from scrivano.functions import corruption as C
 from scrivano.functions import text as X
 from scrivano.functions import udfs
-from scrivano.operators import infer, pairs, verdict
+from scrivano.operators import infer, lexicon, pairs, training, verdict
 from scrivano.plans import curation, splitting
 from scrivano.sources import tables
 
@@ -37,7 +37,7 @@ def duck():
     return con
 
 
-CHECKED = ["diff_category_counts", "apply_fixes", "duplicates_and_leakage", "assign_splits", "resplit_pages", "derive_density", "training_mix", "homophone_edges", "verb_homophone_pairs", "dictionary_filter", "verdict_rates", "upper_median_length", "tibetan_literals", "event_windows_hourly", "syllable_prf", "nearest_train_source", "artifact_flags"]
+CHECKED = ["diff_category_counts", "apply_fixes", "duplicates_and_leakage", "assign_splits", "resplit_pages", "derive_density", "training_mix", "homophone_edges", "verb_homophone_pairs", "dictionary_filter", "verdict_rates", "upper_median_length", "tibetan_literals", "event_windows_hourly", "syllable_prf", "nearest_train_source", "neighbour_counts", "artifact_flags", "exported_tables", "training_rows", "training_composition", "target_diversity", "first_examples"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -115,6 +115,35 @@ def test_sources(spark, tmp_path):
         tables.unify(spark.createDataFrame([(1,)], "z int"))
 
 
+def test_texts_within_some_edits_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(120)] + ["", "a", "ab"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            up, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(up[j] + 1, row[-1] + 1, up[j - 1] + (x != y)))
+        return row[-1]
+
+    t = spark.createDataFrame([(x,) for x in set(texts)], "a string")
+    for most in (2, 5):
+        got = {(r.a, r.b, r.distance) for r in lexicon.within(t, t.withColumnRenamed("a", "b"), most).collect()}
+        assert got == {(a, b, edits(a, b)) for a in set(texts) for b in set(texts) if edits(a, b) <= most}
+
+
+def test_training_load_and_exports(spark, tmp_path):
+    schema = "source string, target string, split string, diff_category string"
+    diff = spark.createDataFrame([("a", "b", "train", "x"), ("a", "c", "train", "y"), ("a", "d", "val", "y"), ("long text", "d", "train", "x"), ("e", "f", "train", None)], schema)
+    same = spark.createDataFrame([("g", "g", "train"), ("h", "h", "val")], "source string, target string, split string")
+    assert rows(training.load(diff, same, "train", 4, ("y",)).select("source", "target", "diff_category")) == sorted([("x", "a", "b"), (None, "e", "f"), ("identical", "g", "g")], key=repr)
+    assert training.load(diff, same, "val", 4, ("y",)).count() == 2 and training.load(diff, same, "none").count() == 0
+    tables.export_pairs(diff, same, f"file://{tmp_path}", {"differing_sentence": "old_name"})
+    counts = {n: tables.read_csv(spark, f"file://{tmp_path}/{n}").count() for n in ("differing_sentence", "old_name", "identical_page")}
+    assert counts == {"differing_sentence": 5, "old_name": 5, "identical_page": 2}
+
+
 def test_verdicts_bisect_and_retry():
     calls = []
 
