@@ -9,16 +9,20 @@ windows meet if two functions agree, and a short line that many texts share brin
 1. Texts are packed in blocks of bounded size, texts of over a million words cut with an overlap of a run.
 2. An exchange of Rice coded signatures, as in golomb_dedup, tells each block which of its signatures other blocks have too.
 3. Inside a block, windows of a signature link to the text before them and to the first text that has it; these links are
-   verified at once. One window of each signature and block is sent to the interval join, where blocks link likewise. So a
-   group of any size gives two links a window, no pairs, and at most one row a block to the task that joins it.
+   verified at once, and texts that they connect are a class. Then all other pairs of windows of a signature whose texts are of
+   different classes are tried. All windows of signatures that other blocks have, copies in a class once, go to the join of
+   blocks, where the first ones of the blocks link likewise.
 4. Links of near offsets are swept: the runs that their windows cover are candidate passages.
 5. Candidates are verified place by place: an element counts as common if the other side has it within a few words of the
    offset. Runs stay in which every run of `span` elements has a Jaccard similarity of at least `least`.
+6. What has been verified connects classes across blocks. For signatures whose windows are still of several classes, all pairs
+   of windows of different classes go through steps 4 and 5 too. So whatever meets in a signature has been tried or is of one
+   class: groups have no cap, and only pairs inside a class are spared.
 
-Rows are pairs of a passage and its counterpart. Texts that share a passage are connected by such pairs, through the texts
-before and the first one; not each pair of a group has a row. Of m common elements in a run of n, similarity is m / (2 n - m).
+Rows are pairs of a passage and its counterpart; `classes` gives the class of each text, the least id reachable through them.
+Not each pair inside a class has a row. Of m common elements in a run of n, similarity is m / (2 n - m).
 
-Nulls, ties, repeats: null, empty and shorter texts have no passages; null ids are carried through; texts are ordered as the
+Nulls, ties, repeats: null, empty and shorter texts have no passages; null ids are carried through, but connect no classes; texts are ordered as the
 scan meets them; repeated rows are texts of their own; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -32,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, estimated_bytes, join_small, materialize, utf8, width
+from .common import SPACE, estimated_bytes, join_small, materialize, release, utf8, width
+from .components import components
 from .golomb_dedup import _answer, rice_encode
 
 SHINGLE, BLOCK_BYTES, CUT = 5, 2 << 20, 1 << 20
@@ -209,8 +214,8 @@ def spans(row, other, at, o_at, first, last, span: int):
 
 
 def local_links(sig, text, at, first, last):
-    """text, other, at, o_at, first, last: windows of a signature with the text before and the first text that has it; and the
-    first window of each signature, in the order of signatures."""
+    """text, other, at, o_at, first, last: windows of a signature with the text before and the first text that has it; what else
+    meets in a signature is left to rest_pairs."""
     order = np.lexsort((at, text, sig))
     s, t = sig[order], text[order]
     new_sig = np.append(True, s[1:] != s[:-1])[: len(s)]
@@ -225,7 +230,77 @@ def local_links(sig, text, at, first, last):
         x.append(order[has])
         y.append(order[lead[to[k[has]]]])
     x, y = np.concatenate(x), np.concatenate(y)
-    return (text[x], text[y], at[x], at[y], first[x], last[x]), order[new_sig]
+    return text[x], text[y], at[x], at[y], first[x], last[x]
+
+
+def contents(e: np.ndarray, text: np.ndarray, offset: np.ndarray, first: np.ndarray, last: np.ndarray, span: int) -> np.ndarray:
+    """A hash of the elements of each window and of those about it that verification may see."""
+    around = STEP + SLACK
+    a = offset[text] + np.maximum(0, first - around)
+    b = np.minimum(offset[text + 1], offset[text] + last + span + around)
+    with np.errstate(over="ignore"):
+        power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(e), k, np.uint64))) for k in (_K, np.uint64(pow(int(_K), -1, 1 << 64))))
+        total = np.append(np.uint64(0), np.cumsum(e * power[:-1]))
+        return _mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) + (first - np.maximum(0, first - around)).astype(np.uint64) * _K)
+
+
+def roots(n: int, edges) -> np.ndarray:
+    """The least of each one's class."""
+    up = list(range(n))
+
+    def root(a):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        return a
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return np.array([root(a) for a in range(n)], np.int64)
+
+
+def rest_pairs(sig, label, same, most: int = 4096):
+    """Pairs of places that have a signature in common and differ in label, in arrays of about most pairs or one row of a
+    group; copies (alike in signature, label and same) once."""
+    order = np.lexsort((same, label, sig))
+    s, c = sig[order], label[order]
+    new = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (same[order][1:] != same[order][:-1]))[: len(s)]
+    order, s, c = order[new], s[new], c[new]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    size = np.diff(np.append(start, len(s)))
+    mixed = c[start] != c[start + size - 1] if len(start) else np.zeros(0, bool)
+    xs, ys, n = [], [], 0
+    for b, g in zip(start[mixed].tolist(), size[mixed].tolist(), strict=True):
+        own, step = c[b : b + g], max(1, most // g)
+        for k in range(0, g, step):
+            i, j = np.nonzero(own[k : k + step, None] > own[None, :])  # each pair once, from the greater label
+            xs.append(order[b + k + i])
+            ys.append(order[b + j])
+            n += len(i)
+            if n >= most:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, n = [], [], 0
+    if n:
+        yield np.concatenate(xs), np.concatenate(ys)
+
+
+def may_verify(e, offset, text, at, x, y, span: int, least: float) -> np.ndarray:
+    """Whether windows x and y can have a passage within two runs of their least places, so in all that spans may join them to."""
+    around, far = STEP + SLACK, 2 * span
+
+    def about(w, reach):
+        i = at[w][:, None] + np.arange(-reach, reach + 1)
+        n = (offset[text[w] + 1] - offset[text[w]])[:, None]
+        inside = (i >= 0) & (i < n)
+        return e[np.where(inside, i + offset[text[w]][:, None], 0)], inside
+
+    (own, own_in), (other, other_in) = about(x, far), about(y, far + around)
+    n = 2 * far + 1
+    common = np.zeros(own.shape, bool)
+    for d in range(2 * around + 1):
+        common |= (own == other[:, d : d + n]) & other_in[:, d : d + n]
+    total = np.cumsum(np.pad(common & own_in, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+    return ((total[:, span:] - total[:, :-span]).max(axis=1)) * (1 + least) >= 2 * least * span - 1e-9
 
 
 def _keeper(span: int, hashes: int, least: float, bits: int, owner_bits: int):
@@ -237,32 +312,54 @@ def _keeper(span: int, hashes: int, least: float, bits: int, owner_bits: int):
                 e, own = block_elements(texts)
                 offset = np.searchsorted(own, np.arange(len(texts) + 1))
                 sig, text, at, first, last = _block_windows(e, own, len(texts), span, hashes)
-                links, heads = local_links(sig, text, at, first, last)
-                out: list[tuple] = []
-                for x, a, b, y, q in zip(*(c.tolist() for c in spans(*links, span)), strict=True):
-                    out += verified((ids[x], bases[x], a, e[offset[x] + a : offset[x] + b]), (ids[y], bases[y], 0, e[offset[y] : offset[y + 1]]), q, span, least)
-                    if len(out) >= 10_000:
-                        yield _found(out)
-                        out = []
-                yield _found(out)
-                cut = sig[heads] >> np.uint64(64 - bits)
+                pairs: set[tuple[int, int]] = set()
+
+                def passages_of(links):
+                    out: list[tuple] = []
+                    for x, a, b, y, q in zip(*(c.tolist() for c in spans(*links, span)), strict=True):
+                        if found := verified((ids[x], bases[x], a, e[offset[x] + a : offset[x] + b]), (ids[y], bases[y], 0, e[offset[y] : offset[y + 1]]), q, span, least):
+                            pairs.add((x, y))
+                            out += found
+                        if len(out) >= 10_000:
+                            yield _found(out)
+                            out = []
+                    yield _found(out)
+
+                yield from passages_of(local_links(sig, text, at, first, last))
+                same = contents(e, text, offset, first, last, span)
+                likely, short = [], e.astype(np.uint32)
+                for x, y in rest_pairs(sig, roots(len(texts), pairs)[text], same):
+                    x, y = (z[may_verify(short, offset, text, at, x, y, span, least)] for z in (x, y))
+                    likely.append((text[x], text[y], at[x], at[y], first[x], last[x]))
+                if likely:
+                    yield from passages_of([np.concatenate(c) for c in zip(*likely, strict=True)])
+                label = roots(len(texts), pairs)[text]
+                cut = sig >> np.uint64(64 - bits)
                 values = np.unique(cut)
                 owner = (values >> np.uint64(bits - owner_bits)).astype(np.int64)
                 hit = np.zeros(len(values), bool)
                 for x in answers or []:
                     i, j = np.searchsorted(owner, [x["owner"], x["owner"] + 1])
                     hit[i:j] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: j - i].astype(bool)
-                heads = heads[hit[np.searchsorted(values, cut)]] if len(values) else heads
-                for k in range(0, len(heads), 100_000):
-                    h = heads[k : k + 100_000]
-                    yield _found([], [np.ascontiguousarray(sig[h]).view(np.int64), (block << ROW_BITS) | text[h].astype(np.int64), at[h], first[h], last[h]])
+                sent = np.flatnonzero(hit[np.searchsorted(values, cut)]) if len(values) else np.zeros(0, np.int64)
+                sent = sent[np.lexsort((at[sent], text[sent], sig[sent]))]
+                lead = np.append(True, sig[sent][1:] != sig[sent][:-1])[: len(sent)]
+                order = np.lexsort((np.arange(len(sent)), same[sent], label[sent], sig[sent]))  # copies once, the lead among them
+                o = sent[order]
+                new = np.append(True, (sig[o][1:] != sig[o][:-1]) | (label[o][1:] != label[o][:-1]) | (same[o][1:] != same[o][:-1]))[: len(o)]
+                stays = np.sort(order[new])
+                sent, lead = sent[stays], lead[stays]
+                for k in range(0, len(sent), 100_000):
+                    h = sent[k : k + 100_000]
+                    row, root = ((block << ROW_BITS) | z.astype(np.int64) for z in (text[h], label[h]))
+                    yield _found([], [np.ascontiguousarray(sig[h]).view(np.int64), row, at[h], first[h], last[h], root, np.ascontiguousarray(same[h]).view(np.int64), lead[k : k + 100_000]])
 
     return keep
 
 
 def _found(passages: list[tuple], windows: list[np.ndarray] | None = None) -> pa.RecordBatch:
     n = len(passages) if windows is None else len(windows[0])
-    kinds = (_I64, _I64, pa.int32(), pa.int32(), pa.int32())
+    kinds = (_I64, _I64, pa.int32(), pa.int32(), pa.int32(), _I64, _I64, pa.bool_())
     left = [pa.nulls(n, k) for k in kinds] if windows is None else [pa.array(x, k) for x, k in zip(windows, kinds, strict=True)]
     right = list(_passages(passages).columns) if windows is None else [pa.nulls(n, pa.float64() if k == 6 else _I64) for k in range(7)]
     return pa.RecordBatch.from_arrays([*left, *right], [x.split()[0] for x in (_WINDOWS + ", " + _OUT).split(", ")])
@@ -315,7 +412,8 @@ def _ranges(out: list[tuple]) -> pa.RecordBatch:
 
 
 _OUT = "doc_id long, first_word long, last_word long, other_doc_id long, other_first_word long, other_last_word long, similarity double"
-_WINDOWS = "sig long, row long, at int, first int, last int"
+_WINDOWS = "sig long, row long, at int, first int, last int, label long, same long, lead boolean"
+_PAIRS = "row long, other long, "
 
 
 def verified(x: tuple, y: tuple, q: int, span: int, least: float) -> list[tuple]:
@@ -348,9 +446,13 @@ def _verifier(span: int, least: float):
     def verify(batches):
         for batch in batches:
             out: list[tuple] = []
+            rows: list[tuple] = []
             for r in batch.to_pylist():
-                out += verified((r["doc_id"], r["base"], r["x_from"], np.frombuffer(r["x"], np.uint32)), (r["o_doc_id"], r["o_base"], r["y_from"], np.frombuffer(r["y"], np.uint32)), r["q"], span, least)
-            yield _passages(out)
+                found = verified((r["doc_id"], r["base"], r["x_from"], np.frombuffer(r["x"], np.uint32)), (r["o_doc_id"], r["o_base"], r["y_from"], np.frombuffer(r["y"], np.uint32)), r["q"], span, least)
+                out += found
+                rows += [(r["row"], r["other"])] * len(found)
+            names = [pa.array([x[k] for x in rows], _I64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, *_passages(out).columns], [x.split()[0] for x in (_PAIRS + _OUT).split(", ")])
 
     return verify
 
@@ -369,12 +471,39 @@ def passages(docs: DataFrame, words: int = 50, hashes: int = 6, least: float = 0
     answers = materialize(answers.groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("answers")), "answers")
     asked = join_small(blocks, answers, ["block"], "left", 1, estimated_bytes(answers))
     found = materialize(asked.mapInArrow(_keeper(span, hashes, least, bits, owner_bits), _WINDOWS + ", " + _OUT), "windows")
-    near = found.filter("row is null").select(*[x.split()[0] for x in _OUT.split(", ")])
+    out = [x.split()[0] for x in _OUT.split(", ")]
+    near, ends = found.filter("row is null").select(*out), found.filter("row is not null").select(*[x.split()[0] for x in _WINDOWS.split(", ")])
     # one window of a signature from each block
     group = Window.partitionBy("sig").orderBy("row")
     place = F.struct("row", F.col("at").alias("o_at"))
-    ends = found.filter("row is not null").select("row", "at", "first", "last", F.array_distinct(F.array(F.lag(place).over(group), F.first(place).over(group))).alias("to"))
-    links = ends.select("row", "at", "first", "last", F.explode("to").alias("to")).select("row", "at", "first", "last", F.col("to.row").alias("other"), "to.o_at").filter("other <> row")
+    to = ends.filter("lead").select("row", "at", "first", "last", F.array_distinct(F.array(F.lag(place).over(group), F.first(place).over(group))).alias("to"))
+    links = to.select("row", "at", "first", "last", F.explode("to").alias("to")).select("row", "at", "first", "last", F.col("to.row").alias("other"), "to.o_at").filter("other <> row")
+    far = _across(blocks, links, span, least)
+    release(docs.sparkSession)
+    rest = _across(blocks, _rest_links(ends, far), span, least)
+    return near.unionByName(far.select(*out)).unionByName(rest.select(*out))
+
+
+def _rest_links(ends: DataFrame, far: DataFrame) -> DataFrame:
+    """Links of all windows that meet in a signature and whose texts what has been verified does not connect."""
+    names = ends.filter("row <> label").select("row", "label").distinct()
+    edges = far.select("row", "other").distinct()
+    for c, to in (("row", "u"), ("other", "v")):
+        edges = edges.join(names.select(F.col("row").alias(c), F.col("label").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    comp = materialize(components(edges.select("u", "v")).select(F.col("node").alias("label"), F.col("label").alias("class")), "classes")
+    named = join_small(ends, comp, ["label"], "left", comp.count(), 32).withColumn("class", F.coalesce("class", "label"))
+    # blocks have tried their own pairs, and leads the one before and the first
+    group = Window.partitionBy("sig")
+    tried = F.count(F.lit(1)).over(group) <= F.when(F.min("lead").over(group), 3).otherwise(2)
+    named = named.withColumn("open", (F.min("class").over(group) < F.max("class").over(group)) & ~tried).filter("open")
+    named = materialize(named.select("sig", "row", "at", "first", "last", "class", "same").dropDuplicates(["sig", "class", "same"]), "open")
+    x, y = named.drop("same"), named.select("sig", F.col("row").alias("other"), F.col("at").alias("o_at"), F.col("class").alias("o_class"))
+    met = x.join(y, "sig").filter((F.col("class") > F.col("o_class")) & (F.shiftright("row", ROW_BITS) != F.shiftright("other", ROW_BITS)))
+    return met.select("row", "at", "first", "last", "other", "o_at")
+
+
+def _across(blocks: DataFrame, links: DataFrame, span: int, least: float) -> DataFrame:
+    """Verified passages of links between blocks, with their rows."""
     far = materialize(links.groupBy(F.shiftright("row", ROW_BITS)).applyInArrow(_sweeper(span), "row long, a long, b long, other long, q long"), "spans")
     reach = STEP // 2 + SLACK
     centre = F.col("q") * STEP + STEP // 2
@@ -384,4 +513,9 @@ def passages(docs: DataFrame, words: int = 50, hashes: int = 6, least: float = 0
     ranges = materialize(join_small(blocks, wanted, ["block"], "inner", 1, estimated_bytes(wanted)).mapInArrow(_fetcher(), _RANGES), "ranges")
     x = ranges.select("row", "a", "b", "doc_id", "base", F.col("from").alias("x_from"), F.col("elements").alias("x"))
     y = ranges.select(F.col("row").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("doc_id").alias("o_doc_id"), F.col("base").alias("o_base"), F.col("from").alias("y_from"), F.col("elements").alias("y"))
-    return near.unionByName(sides.join(x, ["row", "a", "b"]).join(y, ["other", "oa", "ob"]).mapInArrow(_verifier(span, least), _OUT))
+    return materialize(sides.join(x, ["row", "a", "b"]).join(y, ["other", "oa", "ob"]).mapInArrow(_verifier(span, least), _PAIRS + _OUT), "passages")
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """doc_id, class_id of every text that passages has rows of: the least id reachable through them."""
+    return components(found.select(F.col("doc_id").alias("u"), F.col("other_doc_id").alias("v"))).select(F.col("node").alias("doc_id"), F.col("label").alias("class_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_schema, compact_windows, decontam_sw, es_mixing, golomb_dedup, pst_lm, quality_fm, simhash_vp, token_orc, toxicity_automata
-from .common import materialize, table
+from .common import join_small, materialize, table
 from .labelled import remainder
 
 QUERIES: dict = {}
@@ -93,4 +93,6 @@ def op7_sw_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact_windows.passages(table(spark, sf_dir, "documents"))
+    found = materialize(compact_windows.passages(table(spark, sf_dir, "documents")), "found")
+    named = materialize(compact_windows.classes(found), "named")
+    return join_small(found, named, ["doc_id"], "left", named.count(), 32).select(*found.columns, F.coalesce("class_id", "doc_id").alias("class_id"))

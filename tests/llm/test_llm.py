@@ -563,6 +563,32 @@ def test_passages_of_edited_chains_equal_brute_force(spark, parts):
     assert set(chains) <= want and sum(x in got for x in chains) >= len(chains) - 1
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_passages_try_all_that_meet_in_a_signature(spark, parts):
+    rng = random.Random(17)
+    words = [f"v{i}" for i in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(58)]
+        for _ in range(8):
+            own = list(base)
+            for k in rng.sample(range(58), 3):
+                own[k] = f"own{rng.random()}"
+            twin = list(own)
+            twin[rng.choice([3, 54])] = f"own{rng.random()}"
+            texts += [" ".join(own), " ".join(twin)]
+    rng.shuffle(texts)
+    d = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), parts), "doc_id long, text string")
+    rows = compact_windows.passages(d)
+    got = {r.doc_id: r.class_id for r in compact_windows.classes(rows).collect()}
+    e, own = compact_windows.block_elements([t.encode().lower() for t in texts])
+    sig, text, *_ = compact_windows._block_windows(e, own, len(texts), 46, 6)
+    met = {(a, b) for s in np.unique(sig) for a in text[sig == s].tolist() for b in text[sig == s].tolist() if a < b}
+    want = brute_passages(texts) & met
+    assert len(want) > 60 and all(got[a] == got[b] for a, b in want)
+    assert {(min(r.doc_id, r.other_doc_id), max(r.doc_id, r.other_doc_id)) for r in rows.collect()} <= brute_passages(texts)
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = random.Random(13)
     for _ in range(400):
