@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, materialize, utf8, worker_cache
@@ -32,18 +32,24 @@ BLOCKS, SPACE_BITS = 4, 16
 def fingerprints(text: bytes, words: int = 4, seed: int = 42, second: bool = False) -> list[bytes]:
     """8 bytes, most significant first: a bit is set if it is set in over half of the shingles' XXH64. With second, also one of
     the hashes mixed anew."""
+    h = shingle_hashes(text, words, seed)
+    if not len(h):
+        return [bytes(8)] * (1 + second)
+    return [_majority(h), _majority(_mixed(h.astype(np.uint64)).astype(">u8"))] if second else [_majority(h)]
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle; of the whole sequence if there are fewer words."""
     w = text.lower().split()
     if not w:
-        return [bytes(8)] * (1 + second)
+        return np.zeros(0, ">u8")
     s = b" ".join(w)
     digest = xxhash.xxh64_digest
     if len(w) <= words:
-        h = np.frombuffer(digest(s, seed), ">u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-        starts = np.append(0, ends[:-words]).tolist()
-        h = np.frombuffer(b"".join([digest(s[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]), ">u8")
-    return [_majority(h), _majority(_mixed(h.astype(np.uint64)).astype(">u8"))] if second else [_majority(h)]
+        return np.frombuffer(digest(s, seed), ">u8")
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    starts = np.append(0, ends[:-words]).tolist()
+    return np.frombuffer(b"".join([digest(s[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]), ">u8")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -205,11 +211,59 @@ def links(prints: DataFrame, bits: int, rows: int, most: int | None = None, leaf
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the word shingles; the whole sequence if there are fewer words."""
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, np.uint32)
-    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(w[k : k + words])) for k in range(max(1, len(w) - words + 1))], np.uint32))
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(text, words).astype(np.uint64))
+
+
+def prefix(own: np.ndarray, least: float, popular: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets of a Jaccard similarity of least have one of them in common, as
+    they share least * n of each one's n shingles. The order is the same for all sets, whatever popular holds."""
+    n = len(own)
+    if not n:
+        return own
+    seen = np.zeros(n, np.int64)
+    if len(popular):
+        at = np.minimum(np.searchsorted(popular, own), len(popular) - 1)
+        seen = np.where(popular[at] == own, times[at], 0)
+    return own[np.lexsort((own, seen))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
+def _prefixer(words: int, least: float, popular: bytes, times: bytes):
+    """Fingerprints, a hash of the shingle set, its size and its prefix."""
+
+    def run(batches):
+        pop, freq = np.frombuffer(popular, np.uint64), np.frombuffer(times, np.int64)
+        for batch in batches:
+            prints, nodes, sizes, parts = [], [], [], []
+            for t in utf8(batch.column("text")):
+                h = shingle_hashes(t, words)
+                own = np.unique(h.astype(np.uint64))
+                prints.append((_majority(h), _majority(_mixed(h.astype(np.uint64)).astype(">u8"))) if len(h) else (bytes(8), bytes(8)))
+                nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                parts.append(prefix(own, least, pop, freq))
+            fp, check = (np.frombuffer(b"".join([p[k] for p in prints]), ">i8").astype(np.int64) for k in (0, 1))
+            off = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp), pa.array(check), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(off, pa.array(flat))], ["doc_id", "key", "fp", "check", "node", "size", "prefix"])
+
+    return run
+
+
+def _popular(src: DataFrame, words: int, texts: int = 20_000, most: int = 200_000) -> tuple[bytes, bytes]:
+    """Shingles that several of a sample of texts have, and in how many; they only order the shingles of prefixes."""
+    part = src.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(max(1, src.count() // texts))) == 0)
+
+    def count(batches):
+        for batch in batches:
+            own = [shingle_set(t, words) for t in utf8(batch.column("text"))]
+            x, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["x", "n"])
+
+    top = part.mapInArrow(count, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "x").limit(most).toArrow()
+    x, n = top.column("x").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(x)
+    return x[order].tobytes(), n[order].tobytes()
 
 
 def _shingler(words: int):
@@ -227,7 +281,7 @@ def _checker(least: float):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(x) + len(y)
                 common = both - len(np.unique(np.concatenate([x, y])))
                 keep.append(common >= least * (both - common) - 1e-9)
@@ -262,25 +316,35 @@ def simhash_components(docs: DataFrame, bits: int = 4, words: int = 4, id_col: s
 def keep_one(docs: DataFrame, least: float = 0.8, most: int = 32, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least id (null last).
 
-    Two fingerprints, of independent hashes, are taken. Candidates are texts that differ by at most one bit in one of their eight
-    blocks, and by at most `most` of all 128 bits: of texts of similarity 0.8 in five-word shingles about 0.93 of the pairs, of
-    0.9 0.99; unlike texts meet with 1e-8 a pair. Candidates link if the similarity of their shingle sets is at least `least`.
+    Texts group if a chain of links connects them; a link is a Jaccard similarity of their shingle sets of at least `least`.
+    Most links come cheaply: two fingerprints, of independent hashes, are taken, and texts that differ by at most one bit in one
+    of their eight blocks and by at most `most` of all 128 bits are verified along a spanning forest. Then the rest is done
+    exactly: texts that share a shingle of their prefixes, and that no link connects yet, are all verified. Only pairs whose
+    sizes or places in the prefixes rule the similarity out are left, and pairs inside a group.
     """
-    rows = _rows(docs, words, True, id_col, text_col).withColumn("node", F.xxhash64("fp", "check"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(src.mapInArrow(_prefixer(words, least, *_popular(src, words)), "doc_id long, key long, fp long, check long, node long, size int, prefix array<long>"), "prefixes")
     rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("key").alias("k"))
-    nodes = materialize(rows.groupBy("node", "fp", "check").agg(F.min(rank).alias("rep")), "prints")
+    nodes = rows.groupBy("node").agg(F.min(rank).alias("rep"), F.min(F.struct("fp", "check")).alias("p"))
+    nodes = materialize(nodes.select("node", "p.fp", "p.check", "rep"), "prints")
     n = nodes.count()
-    found = links(nodes, BLOCKS, n, most).unionByName(links(nodes.select("node", F.col("check").alias("fp"), F.col("fp").alias("check")), BLOCKS, n, most))
-    found = materialize(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "candidates")
-    # the texts that candidates stand for, once each
-    of = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
-    of = materialize(nodes.join(of, "node").select("node", F.col("rep.d").alias("d__"), F.col("rep.k").alias("k__")), "asked")
     own = docs.withColumn("d__", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("k__", row_key(id_col, text_col))
-    asked = of.count()
-    texts = join_small(own.select("d__", "k__", F.col(text_col).cast("string").alias("text")), of, ["d__", "k__"], "inner", asked, 48)
-    sets = materialize(texts.select("node", "text").mapInArrow(_shingler(words), "node long, shingles binary"), "shingles").dropDuplicates(["node"])
-    both = found.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    comp = materialize(components(both.select("u", "v", "a", "b").mapInArrow(_checker(least), "u long, v long")), "components")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "candidates")
+        # the texts that candidates stand for, once each
+        of = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
+        of = materialize(nodes.join(of, "node").select("node", F.col("rep.d").alias("d__"), F.col("rep.k").alias("k__")), "asked")
+        texts = join_small(own.select("d__", "k__", F.col(text_col).cast("string").alias("text")), of, ["d__", "k__"], "inner", of.count(), 48)
+        sets = materialize(texts.select("node", "text").mapInArrow(_shingler(words), "node long, shingles binary"), "shingles").dropDuplicates(["node"])
+        both = found.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        return materialize(both.select("u", "v", "a", "b").mapInArrow(_checker(least), "u long, v long"), "links")
+
+    first = verified(links(nodes, BLOCKS, n, most).unionByName(links(nodes.select("node", F.col("check").alias("fp"), F.col("fp").alias("check")), BLOCKS, n, most)))
+    comp = materialize(components(first), "components")
+    rest = verified(_rest(rows, comp, least))
+    if rest.count():
+        comp = materialize(components(first.unionByName(rest)), "components")
     named = join_small(nodes, comp, ["node"], "left", comp.count(), 32).withColumn("label", F.coalesce("label", "node"))
     stays = named.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.d").alias("d__"), F.col("rep.k").alias("k__"))
     named_rows = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d__"), F.col("key").alias("k__"))
@@ -290,3 +354,18 @@ def keep_one(docs: DataFrame, least: float = 0.8, most: int = 32, words: int = 5
     if m := many.count():  # repeated rows: one of each stays
         out = join_small(out, many, ["d__", "k__"], "left_anti", m, 32).unionByName(join_small(own, many, ["d__", "k__"], "left_semi", m, 32).dropDuplicates(["d__", "k__"]))
     return out.drop("d__", "k__")
+
+
+def _rest(rows: DataFrame, comp: DataFrame, least: float) -> DataFrame:
+    """u, v: nodes that share a shingle of their prefixes, that comp does not connect, and that may have a similarity of least."""
+    named = join_small(rows.select("node", "size", "prefix"), comp, ["node"], "left", comp.count(), 32).withColumn("label", F.coalesce("label", "node"))
+    tokens = named.select("node", "size", "label", F.posexplode("prefix").alias("at", "token"))
+    group = Window.partitionBy("token")
+    open_ = tokens.withColumn("mixed", F.min("label").over(group) < F.max("label").over(group)).filter("mixed").drop("mixed")
+    open_ = materialize(open_.dropDuplicates(["token", "node"]), "open")
+    x, y = (open_.select("token", *[F.col(c).alias(f"{c}_{z}") for c in ("node", "size", "label", "at")]) for z in "uv")
+    # of the first shingle that two sets share, both may share what follows it
+    share = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v"))
+    enough = share * (1 + least) >= least * (F.col("size_u") + F.col("size_v")) - 1e-6
+    met = x.join(y, "token").filter((F.col("label_u") < F.col("label_v")) & enough)
+    return met.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))

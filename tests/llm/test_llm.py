@@ -156,6 +156,31 @@ def test_keep_one_finds_near_copies(spark):
     assert all(2 * g + 1 in kept for g, j in enumerate(pairs) if j < 0.8)
 
 
+def test_keep_one_finds_every_pair(spark):
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(4000)]
+    line = [rng.choice(words) for _ in range(12)]
+    texts = []
+    for _ in range(150):
+        t = [rng.choice(words) for _ in range(rng.randint(20, 90))] + line
+        texts.append(t)
+        for _ in range(2):
+            u = list(t)
+            for _ in range(rng.randint(1, max(1, len(t) // 45))):
+                u[rng.randrange(len(u))] = f"new{rng.random()}"
+            texts.append(u)
+    texts += [["a", "b"], ["a", "b"], ["a", "c"], line * 40 + ["x"], line * 40 + ["y", "z", "q", "r", "s", "t", "o", "p"]]
+    sets = [set(zip(*[x[k:] for k in range(5)])) or {tuple(x)} for x in texts]
+    up = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(up[a], up[b]), min(up[a], up[b])
+                up = [new if x == old else x for x in up]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash_vp.keep_one(d).collect()) == sorted(set(up))
+
+
 def tokenizer():
     P = pytest.importorskip("public_tokenizers")
     return str(P.path("byte_bpe_50k.json"))
