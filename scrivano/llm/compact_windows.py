@@ -16,8 +16,9 @@ windows meet if two functions agree, and a short line that many texts share brin
 5. Candidates are verified place by place: an element counts as common if the other side has it within a few words of the
    offset. Runs stay in which every run of `span` elements has a Jaccard similarity of at least `least`.
 6. What has been verified connects classes across blocks. For signatures whose windows are still of several classes, all pairs
-   of windows of different classes go through steps 4 and 5 too. So whatever meets in a signature has been tried or is of one
-   class: groups have no cap, and only pairs inside a class are spared.
+   of windows of different classes are compared by sketches of the elements about them, and those whose sketches do not rule a
+   passage out go through steps 4 and 5 too. So whatever meets in a signature has been tried, cannot be a passage or is of one
+   class: groups have no cap. Sketches travel with windows, not with pairs, so what is moved follows the input.
 
 Rows are pairs of a passage and its counterpart; `classes` gives the class of each text, the least id reachable through them.
 Not each pair inside a class has a row. Of m common elements in a run of n, similarity is m / (2 n - m).
@@ -28,6 +29,8 @@ scan meets them; repeated rows are texts of their own; an empty table gives an e
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, estimated_bytes, join_small, materialize, release, utf8, width
+from .common import SPACE, drop_path, estimated_bytes, join_small, materialize, recording, release, utf8, width
 from .components import components
 from .golomb_dedup import _answer, rice_encode
 
@@ -303,6 +306,61 @@ def may_verify(e, offset, text, at, x, y, span: int, least: float) -> np.ndarray
     return ((total[:, span:] - total[:, :-span]).max(axis=1)) * (1 + least) >= 2 * least * span - 1e-9
 
 
+def sketches(e, offset, text, at, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the bits of the elements of pieces of half a run, two runs before its least place to two after: as the
+    asking side, and, with the elements that verification may see beside them, as the answering side."""
+    around, far, piece = STEP + SLACK, 2 * span, span // 2
+    reach = np.arange(-far - around, far + around)
+    n = (offset[text + 1] - offset[text])[:, None]
+    i = at.astype(np.int64)[:, None] + reach
+    inside = (i >= 0) & (i < n)
+    bit = (e >> np.uint64(57))[np.where(inside, i + offset[text][:, None], 0)] if len(e) else np.zeros(i.shape, np.uint64)
+    value = np.where(inside, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+    halves = [np.where((bit >> np.uint64(6)) == h, value, np.uint64(0)) for h in (0, 1)]
+    own, other = [], []
+    for k in range(around, around + far * 2 // piece * piece, piece):
+        whole = inside[:, k : k + piece].all(axis=1)  # a run lies inside its text: else nothing answers all bits
+        for h in halves:
+            own.append(np.where(whole, np.bitwise_or.reduce(h[:, k : k + piece], axis=1), ~np.uint64(0)))
+            other.append(np.bitwise_or.reduce(h[:, k - around : k + piece + around], axis=1))
+    return np.stack(own, axis=1), np.stack(other, axis=1)
+
+
+def may_meet(span: int, least: float):
+    """Whether own and o_other, sketches of two windows, leave a passage possible. A passage within reach of both has a run of
+    span elements, of which at most `missing` are not on the other side, and each run has a whole piece in it."""
+    missing = span - int(np.ceil(2 * least * span / (1 + least) - 1e-9))
+    pieces = 4 * span // (span // 2)
+    lacks = [[F.bit_count(F.col("own")[2 * k + h].bitwiseAND(F.bitwise_not(F.col("o_other")[2 * k + h]))) for h in (0, 1)] for k in range(pieces)]
+    return functools.reduce(lambda a, b: a | b, [a + b <= missing for a, b in lacks])
+
+
+def _sketcher(span: int):
+    """Asked windows with their sketches."""
+
+    def sketch(batches):
+        for batch in batches:
+            for texts, asked in _each(batch, "texts", "asked"):
+                rows = np.array([q["row"] for q in asked], np.int64)
+                at = np.array([q["at"] for q in asked], np.int64)
+                used, text = np.unique(rows & ((1 << ROW_BITS) - 1), return_inverse=True)
+                e, own = block_elements([texts[i] for i in used.tolist()])
+                offset = np.searchsorted(own, np.arange(len(used) + 1))
+                for k in range(0, len(asked), 2048):
+                    part = asked[k : k + 2048]
+                    cols = [pa.array([q[c] for q in part], pa.int32() if c in ("at", "first", "last") else _I64) for c in _ASKED]
+                    for x in sketches(e, offset, text[k : k + 2048], at[k : k + 2048], span):
+                        off = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+                        cols.append(pa.ListArray.from_arrays(off, pa.array(x.ravel().view(np.int64))))
+                    yield pa.RecordBatch.from_arrays(cols, [*_ASKED, "own", "other"])
+
+    return sketch
+
+
+_ASKED = ("sig", "row", "at", "first", "last", "class")
+_SKETCHES = "sig long, row long, at int, first int, last int, class long, own array<long>, other array<long>"
+
+
 def _keeper(span: int, hashes: int, least: float, bits: int, owner_bits: int):
     """Passages inside blocks, and the windows that go to the join of blocks: row is null in the former, doc_id in the latter."""
 
@@ -480,12 +538,17 @@ def passages(docs: DataFrame, words: int = 50, hashes: int = 6, least: float = 0
     links = to.select("row", "at", "first", "last", F.explode("to").alias("to")).select("row", "at", "first", "last", F.col("to.row").alias("other"), "to.o_at").filter("other <> row")
     far = _across(blocks, links, span, least)
     release(docs.sparkSession)
-    rest = _across(blocks, _rest_links(ends, far), span, least)
+    with recording(made := []):
+        links = _rest_links(blocks, ends, far, span, least)
+    rest = _across(blocks, links, span, least)
+    for path in made:
+        drop_path(docs.sparkSession, path)
     return near.unionByName(far.select(*out)).unionByName(rest.select(*out))
 
 
-def _rest_links(ends: DataFrame, far: DataFrame) -> DataFrame:
-    """Links of all windows that meet in a signature and whose texts what has been verified does not connect."""
+def _rest_links(blocks: DataFrame, ends: DataFrame, far: DataFrame, span: int, least: float) -> DataFrame:
+    """Links of all windows that meet in a signature, whose texts what has been verified does not connect, and that can have a
+    passage."""
     names = ends.filter("row <> label").select("row", "label").distinct()
     edges = far.select("row", "other").distinct()
     for c, to in (("row", "u"), ("other", "v")):
@@ -496,14 +559,25 @@ def _rest_links(ends: DataFrame, far: DataFrame) -> DataFrame:
     group = Window.partitionBy("sig")
     tried = F.count(F.lit(1)).over(group) <= F.when(F.min("lead").over(group), 3).otherwise(2)
     named = named.withColumn("open", (F.min("class").over(group) < F.max("class").over(group)) & ~tried).filter("open")
-    named = materialize(named.select("sig", "row", "at", "first", "last", "class", "same").dropDuplicates(["sig", "class", "same"]), "open")
-    x, y = named.drop("same"), named.select("sig", F.col("row").alias("other"), F.col("at").alias("o_at"), F.col("class").alias("o_class"))
-    met = x.join(y, "sig").filter((F.col("class") > F.col("o_class")) & (F.shiftright("row", ROW_BITS) != F.shiftright("other", ROW_BITS)))
-    return met.select("row", "at", "first", "last", "other", "o_at")
+    named = named.select("sig", "row", "at", "first", "last", "class", "same").dropDuplicates(["sig", "class", "same"])
+    asked = materialize(named.groupBy(F.shiftright("row", ROW_BITS).alias("block")).agg(F.collect_list(F.struct(*_ASKED)).alias("asked")), "asked")
+    named = materialize(join_small(blocks, asked, ["block"], "inner", 1, estimated_bytes(asked)).mapInArrow(_sketcher(span), _SKETCHES), "open")
+    x, y = named.drop("other"), named.select("sig", F.col("row").alias("o_row"), F.col("at").alias("o_at"), F.col("class").alias("o_class"), F.col("other").alias("o_other"))
+    met = x.join(y, "sig").filter((F.col("class") > F.col("o_class")) & (F.shiftright("row", ROW_BITS) != F.shiftright("o_row", ROW_BITS)) & may_meet(span, least))
+    return met.select("row", "at", "first", "last", F.col("o_row").alias("other"), "o_at")
 
 
 def _across(blocks: DataFrame, links: DataFrame, span: int, least: float) -> DataFrame:
     """Verified passages of links between blocks, with their rows."""
+    with recording(made := []):
+        verify = _verification(blocks, links, span, least)
+    found = materialize(verify, "passages")
+    for path in made:
+        drop_path(blocks.sparkSession, path)
+    return found
+
+
+def _verification(blocks: DataFrame, links: DataFrame, span: int, least: float) -> DataFrame:
     far = materialize(links.groupBy(F.shiftright("row", ROW_BITS)).applyInArrow(_sweeper(span), "row long, a long, b long, other long, q long"), "spans")
     reach = STEP // 2 + SLACK
     centre = F.col("q") * STEP + STEP // 2
@@ -513,7 +587,7 @@ def _across(blocks: DataFrame, links: DataFrame, span: int, least: float) -> Dat
     ranges = materialize(join_small(blocks, wanted, ["block"], "inner", 1, estimated_bytes(wanted)).mapInArrow(_fetcher(), _RANGES), "ranges")
     x = ranges.select("row", "a", "b", "doc_id", "base", F.col("from").alias("x_from"), F.col("elements").alias("x"))
     y = ranges.select(F.col("row").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("doc_id").alias("o_doc_id"), F.col("base").alias("o_base"), F.col("from").alias("y_from"), F.col("elements").alias("y"))
-    return materialize(sides.join(x, ["row", "a", "b"]).join(y, ["other", "oa", "ob"]).mapInArrow(_verifier(span, least), _PAIRS + _OUT), "passages")
+    return sides.join(x, ["row", "a", "b"]).join(y, ["other", "oa", "ob"]).mapInArrow(_verifier(span, least), _PAIRS + _OUT)
 
 
 def classes(found: DataFrame) -> DataFrame:

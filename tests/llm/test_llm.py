@@ -614,6 +614,25 @@ def test_passages_try_all_that_meet_in_a_signature(spark, parts):
     assert {(min(r.doc_id, r.other_doc_id), max(r.doc_id, r.other_doc_id)) for r in rows.collect()} <= brute_passages(texts)
 
 
+def test_sketches_rule_out_most_that_a_line_brings_together_and_no_passage(spark, monkeypatch):
+    rng = random.Random(29)
+    words = [f"v{i}" for i in range(3000)]
+    line = [rng.choice(words) for _ in range(14)]  # shorter than a passage, in all texts
+    texts = [" ".join([rng.choice(words) for _ in range(60)] + line + [rng.choice(words) for _ in range(60)]) for _ in range(120)]
+    for k in range(0, 40, 2):  # passages that differ in a word or two about the line
+        own = texts[k].split()
+        own[50] = "edited"
+        own[rng.choice([100, 110])] = "too"
+        texts[k + 1] = " ".join(own)
+    d = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 8), "doc_id long, text string")
+    asked, across = [], compact_windows._across
+    monkeypatch.setattr(compact_windows, "_across", lambda blocks, links, *more: across(blocks, asked.append(links.count()) or links, *more))
+    rows = compact_windows.passages(d)
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in rows.collect()}
+    assert got <= brute_passages(texts) and sum((k, k + 1) in got for k in range(0, 40, 2)) >= 19
+    assert asked[1] < 400, asked  # of thousands that meet in a signature
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = random.Random(13)
     for _ in range(400):
