@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, utf8, worker_cache
+from .common import drop_path, join_small, materialize, recording, release, utf8, worker_cache
 from .components import components
 
 BLOCKS, SPACE_BITS = 4, 16
@@ -228,24 +228,52 @@ def prefix(own: np.ndarray, least: float, popular: np.ndarray, times: np.ndarray
     return own[np.lexsort((own, seen))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
 
 
+def set_sketch(own: np.ndarray) -> bytes:
+    """Whether an odd number of a set's shingles fall on each bit, of two bits or more a shingle."""
+    bits = max(256, 1 << (2 * len(own)).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketches_differ(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, the longer folded: in no more than the sets differ in shingles."""
+    x, y = sorted((np.frombuffer(z, np.uint64) for z in (x, y)), key=len)
+    while len(x) < len(y):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+def _sifter(least: float):
+    """Candidates whose sketches do not rule a Jaccard similarity of least out: sets of such differ in at most
+    (1 - least) / (1 + least) of their sizes together."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("sketch_u", "sketch_v", "size_u", "size_v")), strict=True)
+            mask = pa.array([sketches_differ(x, y) * (1 + least) <= (1 - least) * (m + n) + 1e-6 for x, y, m, n in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("u", "v")], ["u", "v"])
+
+    return run
+
+
 def _prefixer(words: int, least: float, popular: bytes, times: bytes):
-    """Fingerprints, a hash of the shingle set, its size and its prefix."""
+    """Fingerprints, a hash of the shingle set, its size, its sketch and its prefix."""
 
     def run(batches):
         pop, freq = np.frombuffer(popular, np.uint64), np.frombuffer(times, np.int64)
         for batch in batches:
-            prints, nodes, sizes, parts = [], [], [], []
+            prints, nodes, sizes, drawn, parts = [], [], [], [], []
             for t in utf8(batch.column("text")):
                 h = shingle_hashes(t, words)
                 own = np.unique(h.astype(np.uint64))
                 prints.append((_majority(h), _majority(_mixed(h.astype(np.uint64)).astype(">u8"))) if len(h) else (bytes(8), bytes(8)))
                 nodes.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
+                drawn.append(set_sketch(own))
                 parts.append(prefix(own, least, pop, freq))
             fp, check = (np.frombuffer(b"".join([p[k] for p in prints]), ">i8").astype(np.int64) for k in (0, 1))
             off = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp), pa.array(check), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(off, pa.array(flat))], ["doc_id", "key", "fp", "check", "node", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp), pa.array(check), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(drawn, pa.binary()), pa.ListArray.from_arrays(off, pa.array(flat))], ["doc_id", "key", "fp", "check", "node", "size", "sketch", "prefix"])
 
     return run
 
@@ -320,29 +348,43 @@ def keep_one(docs: DataFrame, least: float = 0.8, most: int = 32, words: int = 5
     Most links come cheaply: two fingerprints, of independent hashes, are taken, and texts that differ by at most one bit in one
     of their eight blocks and by at most `most` of all 128 bits are verified along a spanning forest. Then the rest is done
     exactly: texts that share a shingle of their prefixes, and that no link connects yet, are all verified. Only pairs whose
-    sizes or places in the prefixes rule the similarity out are left, and pairs inside a group.
+    sizes, places in the prefixes or sketches rule the similarity out are left, and pairs inside a group.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(src.mapInArrow(_prefixer(words, least, *_popular(src, words)), "doc_id long, key long, fp long, check long, node long, size int, prefix array<long>"), "prefixes")
+    rows = materialize(src.mapInArrow(_prefixer(words, least, *_popular(src, words)), "doc_id long, key long, fp long, check long, node long, size int, sketch binary, prefix array<long>"), "prefixes")
     rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("key").alias("k"))
-    nodes = rows.groupBy("node").agg(F.min(rank).alias("rep"), F.min(F.struct("fp", "check")).alias("p"))
-    nodes = materialize(nodes.select("node", "p.fp", "p.check", "rep"), "prints")
+    nodes = rows.groupBy("node").agg(F.min(rank).alias("rep"), F.min(F.struct("fp", "check", "size", "sketch")).alias("p"))
+    nodes = materialize(nodes.select("node", "p.fp", "p.check", "p.size", "p.sketch", "rep"), "prints")
     n = nodes.count()
     own = docs.withColumn("d__", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))).withColumn("k__", row_key(id_col, text_col))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        found = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "candidates")
-        # the texts that candidates stand for, once each
-        of = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
-        of = materialize(nodes.join(of, "node").select("node", F.col("rep.d").alias("d__"), F.col("rep.k").alias("k__")), "asked")
-        texts = join_small(own.select("d__", "k__", F.col(text_col).cast("string").alias("text")), of, ["d__", "k__"], "inner", of.count(), 48)
-        sets = materialize(texts.select("node", "text").mapInArrow(_shingler(words), "node long, shingles binary"), "shingles").dropDuplicates(["node"])
-        both = found.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        return materialize(both.select("u", "v", "a", "b").mapInArrow(_checker(least), "u long, v long"), "links")
+        with recording(made := []):
+            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+            for c in "uv":
+                pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+            found = materialize(pairs.mapInArrow(_sifter(least), "u long, v long"), "candidates")
+            # the texts that candidates stand for, once each
+            of = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
+            of = materialize(nodes.join(of, "node").select("node", F.col("rep.d").alias("d__"), F.col("rep.k").alias("k__")), "asked")
+            texts = join_small(own.select("d__", "k__", F.col(text_col).cast("string").alias("text")), of, ["d__", "k__"], "inner", of.count(), 48)
+            sets = materialize(texts.select("node", "text").mapInArrow(_shingler(words), "node long, shingles binary"), "shingles").dropDuplicates(["node"])
+            both = found.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        out = materialize(both.select("u", "v", "a", "b").mapInArrow(_checker(least), "u long, v long"), "links")
+        for path in made:  # what the links were found by is read no more
+            drop_path(spark, path)
+        return out
 
     first = verified(links(nodes, BLOCKS, n, most).unionByName(links(nodes.select("node", F.col("check").alias("fp"), F.col("fp").alias("check")), BLOCKS, n, most)))
     comp = materialize(components(first), "components")
-    rest = verified(_rest(rows, comp, least))
+    release(spark)
+    with recording(made := []):
+        rest = _rest(rows, comp, least)
+    rest = verified(rest)
+    for path in made:
+        drop_path(spark, path)
+    release(spark)
     if rest.count():
         comp = materialize(components(first.unionByName(rest)), "components")
     named = join_small(nodes, comp, ["node"], "left", comp.count(), 32).withColumn("label", F.coalesce("label", "node"))

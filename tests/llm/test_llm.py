@@ -181,6 +181,34 @@ def test_keep_one_finds_every_pair(spark):
     assert sorted(r.doc_id for r in simhash_vp.keep_one(d).collect()) == sorted(set(up))
 
 
+def test_keep_one_verifies_only_what_sketches_leave(spark, monkeypatch):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for edits in [15] * 100 + [4] * 30:  # similarities of about 0.6 and 0.87
+        t = [rng.choice(words) for _ in range(300)]
+        u = list(t)
+        for k in range(edits):
+            u[k * (300 // edits) + rng.randrange(5)] = f"new{rng.random()}"
+        texts += [" ".join(t), " ".join(u)]
+    sets = [simhash_vp.shingle_set(t.encode(), 5) for t in texts] + [simhash_vp.shingle_set(b"a b", 5), np.zeros(0, np.uint64)]
+    tried, write = [], simhash_vp.materialize
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "candidates":
+            tried.append(out.filter("u <> v").count())
+        return out
+
+    monkeypatch.setattr(simhash_vp, "materialize", written)
+    kept = {r.doc_id for r in simhash_vp.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(200)) | set(range(200, 260, 2))
+    assert sum(tried) <= 45, tried  # of 130 pairs
+    for x in sets[:40] + sets[-2:]:
+        for y in sets[:60] + sets[200:] + [sets[0][::3]]:
+            assert simhash_vp.sketches_differ(simhash_vp.set_sketch(x), simhash_vp.set_sketch(y)) <= len(np.setxor1d(x, y))
+
+
 def tokenizer():
     P = pytest.importorskip("public_tokenizers")
     return str(P.path("byte_bpe_50k.json"))
