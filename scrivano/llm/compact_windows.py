@@ -16,9 +16,10 @@ windows meet if two functions agree, and a short line that many texts share brin
 5. Candidates are verified place by place: an element counts as common if the other side has it within a few words of the
    offset. Runs stay in which every run of `span` elements has a Jaccard similarity of at least `least`.
 6. What has been verified connects classes across blocks. For signatures whose windows are still of several classes, all pairs
-   of windows of different classes are compared by sketches of the elements about them, and those whose sketches do not rule a
-   passage out go through steps 4 and 5 too. So whatever meets in a signature has been tried, cannot be a passage or is of one
-   class: groups have no cap. Sketches travel with windows, not with pairs, so what is moved follows the input.
+   of windows of different classes are compared by sketches of the elements about them, then place by place by a byte of each
+   element; those that this does not rule out go through steps 4 and 5 too. So whatever meets in a signature has been tried,
+   cannot be a passage or is of one class: groups have no cap. Bytes travel with windows, not with pairs, so what is moved
+   follows the input; the pairs compared where a signature's windows meet still grow with the square of their number.
 
 Rows are pairs of a passage and its counterpart; `classes` gives the class of each text, the least id reachable through them.
 Not each pair inside a class has a row. Of m common elements in a run of n, similarity is m / (2 n - m).
@@ -29,8 +30,6 @@ scan meets them; repeated rows are texts of their own; an empty table gives an e
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -306,39 +305,100 @@ def may_verify(e, offset, text, at, x, y, span: int, least: float) -> np.ndarray
     return ((total[:, span:] - total[:, :-span]).max(axis=1)) * (1 + least) >= 2 * least * span - 1e-9
 
 
-def sketches(e, offset, text, at, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the bits of the elements of pieces of half a run, two runs before its least place to two after: as the
-    asking side, and, with the elements that verification may see beside them, as the answering side."""
+def abouts(e, offset, text, at, span: int) -> np.ndarray:
+    """For each window a byte of each element that verification may see from it, two runs about its least place; then, as bits,
+    which of them its text has."""
+    reach = 2 * span + STEP + SLACK
+    i = at.astype(np.int64)[:, None] + np.arange(-reach, reach + 1)
+    inside = (i >= 0) & (i < (offset[text + 1] - offset[text])[:, None])
+    own = (e >> np.uint64(48)).astype(np.uint8)[np.where(inside, i + offset[text][:, None], 0)] if len(e) else np.zeros(i.shape, np.uint8)
+    return np.concatenate([np.where(inside, own, np.uint8(0)), np.packbits(inside, axis=1)], axis=1)
+
+
+def _opened(about: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = 2 * (2 * span + STEP + SLACK) + 1
+    return about[:, :wide], np.unpackbits(about[:, wide:], axis=1, count=wide).astype(bool)
+
+
+def sketches(about: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For what abouts gives of each window the bits of the elements of pieces of half a run: as the asking side, and, with the
+    elements that verification may see beside them, as the answering side."""
     around, far, piece = STEP + SLACK, 2 * span, span // 2
-    reach = np.arange(-far - around, far + around)
-    n = (offset[text + 1] - offset[text])[:, None]
-    i = at.astype(np.int64)[:, None] + reach
-    inside = (i >= 0) & (i < n)
-    bit = (e >> np.uint64(57))[np.where(inside, i + offset[text][:, None], 0)] if len(e) else np.zeros(i.shape, np.uint64)
-    value = np.where(inside, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-    halves = [np.where((bit >> np.uint64(6)) == h, value, np.uint64(0)) for h in (0, 1)]
+    bit, inside = _opened(about, span)
+    value = np.where(inside, np.uint64(1) << (bit & np.uint8(63)).astype(np.uint64), np.uint64(0))
+    halves = [np.where((bit >> np.uint8(6)) & np.uint8(1) == h, value, np.uint64(0)) for h in (0, 1)]
     own, other = [], []
     for k in range(around, around + far * 2 // piece * piece, piece):
         whole = inside[:, k : k + piece].all(axis=1)  # a run lies inside its text: else nothing answers all bits
         for h in halves:
             own.append(np.where(whole, np.bitwise_or.reduce(h[:, k : k + piece], axis=1), ~np.uint64(0)))
             other.append(np.bitwise_or.reduce(h[:, k - around : k + piece + around], axis=1))
-    return np.stack(own, axis=1), np.stack(other, axis=1)
+    return np.stack(own), np.stack(other)
 
 
-def may_meet(span: int, least: float):
-    """Whether own and o_other, sketches of two windows, leave a passage possible. A passage within reach of both has a run of
-    span elements, of which at most `missing` are not on the other side, and each run has a whole piece in it."""
+def sketches_meet(own: np.ndarray, other: np.ndarray, span: int, least: float) -> np.ndarray:
+    """Whether sketches of asking windows (rows) and answering ones (columns) leave a passage possible. A passage within reach of
+    both has a run of span elements, of which at most `missing` are not on the other side, and each run has a whole piece in it."""
     missing = span - int(np.ceil(2 * least * span / (1 + least) - 1e-9))
-    pieces = 4 * span // (span // 2)
-    lacks = [[F.bit_count(F.col("own")[2 * k + h].bitwiseAND(F.bitwise_not(F.col("o_other")[2 * k + h]))) for h in (0, 1)] for k in range(pieces)]
-    return functools.reduce(lambda a, b: a | b, [a + b <= missing for a, b in lacks])
-
-
-def _sketcher(span: int):
-    """Asked windows with their sketches."""
-
-    def sketch(batches):
+    may = np.zeros((own.shape[1], other.shape[1]), bool)
+    for k in range(0, len(own), 2):
+        lacks = [np.bitwise_count(own[k + h][:, None] & ~other[k + h]) for h in (0, 1)]
+        may |= lacks[0] + lacks[1] <= missing
+    return may
+
+
+def bytes_meet(x: np.ndarray, y: np.ndarray, span: int, least: float) -> np.ndarray:
+    """may_verify by what abouts gives of windows x and y, a row each: a byte may hide a difference, never a common element."""
+    around, n = STEP + SLACK, 4 * span + 1
+    (own, own_in), (other, other_in) = ([np.ascontiguousarray(c.T) for c in _opened(z, span)] for z in (x, y))
+    own, own_in = own[around : around + n], own_in[around : around + n]
+    common = np.zeros(own.shape, bool)
+    same, lacking = np.empty_like(common), not other_in.all()
+    for d in range(2 * around + 1):
+        np.equal(own, other[d : d + n], out=same)
+        if lacking:
+            same &= other_in[d : d + n]
+        common |= same
+    total = np.zeros((n + 1, own.shape[1]), np.int16)
+    np.cumsum(common & own_in, axis=0, out=total[1:])
+    return (total[span:] - total[:-span]).max(axis=0) * (1 + least) >= 2 * least * span - 1e-9
+
+
+def _sifter(span: int, least: float):
+    """Links of the windows of a signature that sketches and bytes leave, from greater classes to lesser ones in other blocks."""
+
+    def sift(t: pa.Table) -> pa.Table:
+        t = t.sort_by("class")
+        row, label, place = (t.column(c).to_numpy() for c in ("row", "class", "place"))
+        about = np.frombuffer(b"".join(t.column("about").to_pylist()), np.uint8).reshape(len(row), -1)
+        own, other = sketches(about, span)
+        block, lower, step = row >> ROW_BITS, np.searchsorted(label, label), max(1, (1 << 16) // len(row))
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(row), step):
+            n = int(lower[k : k + step].max())
+            may = sketches_meet(own[:, k : k + step], other[:, :n], span, least)
+            may &= (np.arange(n) < lower[k : k + step, None]) & (block[:n] != block[k : k + step, None])
+            x, y = np.nonzero(may)
+            for c in range(0, len(x), 1024):
+                i, j = x[c : c + 1024] + k, y[c : c + 1024]
+                left = bytes_meet(about[i], about[j], span, least)
+                xs.append(i[left])
+                ys.append(j[left])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        at = place >> 32
+        cols = (row[x], at[x], (at - (place >> 16 & 0xFFFF))[x], (at - (place & 0xFFFF))[x], row[y], at[y])
+        return pa.table({n.split()[0]: pa.array(c, _I64 if n.endswith("long") else pa.int32()) for n, c in zip(_LINKS.split(", "), cols, strict=True)})
+
+    return sift
+
+
+_LINKS = "row long, at int, first int, last int, other long, o_at int"
+
+
+def _describer(span: int):
+    """Asked windows with the bytes about them."""
+
+    def describe(batches):
         for batch in batches:
             for texts, asked in _each(batch, "texts", "asked"):
                 rows = np.array([q["row"] for q in asked], np.int64)
@@ -348,17 +408,17 @@ def _sketcher(span: int):
                 offset = np.searchsorted(own, np.arange(len(used) + 1))
                 for k in range(0, len(asked), 2048):
                     part = asked[k : k + 2048]
-                    cols = [pa.array([q[c] for q in part], pa.int32() if c in ("at", "first", "last") else _I64) for c in _ASKED]
-                    for x in sketches(e, offset, text[k : k + 2048], at[k : k + 2048], span):
-                        off = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
-                        cols.append(pa.ListArray.from_arrays(off, pa.array(x.ravel().view(np.int64))))
-                    yield pa.RecordBatch.from_arrays(cols, [*_ASKED, "own", "other"])
+                    cols = [pa.array([q[c] for q in part], _I64) for c in ("sig", "row", "class")]
+                    # one column: a least place is less than a run behind the starts of its window
+                    cols.append(pa.array([q["at"] << 32 | (q["at"] - q["first"]) << 16 | (q["at"] - q["last"]) for q in part], _I64))
+                    cols.append(pa.array([x.tobytes() for x in abouts(e, offset, text[k : k + 2048], at[k : k + 2048], span)], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _OPEN.split(", ")])
 
-    return sketch
+    return describe
 
 
 _ASKED = ("sig", "row", "at", "first", "last", "class")
-_SKETCHES = "sig long, row long, at int, first int, last int, class long, own array<long>, other array<long>"
+_OPEN = "sig long, row long, class long, place long, about binary"
 
 
 def _keeper(span: int, hashes: int, least: float, bits: int, owner_bits: int):
@@ -451,7 +511,7 @@ def _fetcher():
                     if i not in done:
                         done = {i: (elements(texts[i], known) >> np.uint64(32)).astype(np.uint32)}
                     a, b = max(0, q["a"]), min(len(done[i]), q["b"])
-                    out.append((q["row"], q["a"], q["b"], ids[i], bases[i], a, done[i][a:b].tobytes()))
+                    out.append((q["row"], q["a"], q["b"], q["answers"], ids[i], bases[i], a, done[i][a:b].tobytes()))
                     if len(out) >= 256:
                         yield _ranges(out)
                         out = []
@@ -461,12 +521,12 @@ def _fetcher():
     return fetch
 
 
-_RANGES = "row long, a long, b long, doc_id long, base long, from long, elements binary"
+_RANGES = "row long, a long, b long, answers boolean, doc_id long, base long, from long, elements binary"
 
 
 def _ranges(out: list[tuple]) -> pa.RecordBatch:
     cols = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else _I64) for k, c in enumerate(cols)], [x.split()[0] for x in _RANGES.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, {3: pa.bool_(), 7: pa.binary()}.get(k, _I64)) for k, c in enumerate(cols)], [x.split()[0] for x in _RANGES.split(", ")])
 
 
 _OUT = "doc_id long, first_word long, last_word long, other_doc_id long, other_first_word long, other_last_word long, similarity double"
@@ -561,10 +621,10 @@ def _rest_links(blocks: DataFrame, ends: DataFrame, far: DataFrame, span: int, l
     named = named.withColumn("open", (F.min("class").over(group) < F.max("class").over(group)) & ~tried).filter("open")
     named = named.select("sig", "row", "at", "first", "last", "class", "same").dropDuplicates(["sig", "class", "same"])
     asked = materialize(named.groupBy(F.shiftright("row", ROW_BITS).alias("block")).agg(F.collect_list(F.struct(*_ASKED)).alias("asked")), "asked")
-    named = materialize(join_small(blocks, asked, ["block"], "inner", 1, estimated_bytes(asked)).mapInArrow(_sketcher(span), _SKETCHES), "open")
-    x, y = named.drop("other"), named.select("sig", F.col("row").alias("o_row"), F.col("at").alias("o_at"), F.col("class").alias("o_class"), F.col("other").alias("o_other"))
-    met = x.join(y, "sig").filter((F.col("class") > F.col("o_class")) & (F.shiftright("row", ROW_BITS) != F.shiftright("o_row", ROW_BITS)) & may_meet(span, least))
-    return met.select("row", "at", "first", "last", F.col("o_row").alias("other"), "o_at")
+    del named
+    release(blocks.sparkSession)  # the exchange of all windows
+    named = materialize(join_small(blocks, asked, ["block"], "inner", 1, estimated_bytes(asked)).mapInArrow(_describer(span), _OPEN), "open")
+    return named.groupBy("sig").applyInArrow(_sifter(span, least), _LINKS)
 
 
 def _across(blocks: DataFrame, links: DataFrame, span: int, least: float) -> DataFrame:
@@ -582,11 +642,13 @@ def _verification(blocks: DataFrame, links: DataFrame, span: int, least: float)
     reach = STEP // 2 + SLACK
     centre = F.col("q") * STEP + STEP // 2
     sides = far.select("row", "a", "b", "other", "q", F.greatest(F.lit(0), F.col("a") - centre - reach).alias("oa"), F.greatest(F.lit(0), F.col("b") - centre + reach).alias("ob"))
-    wanted = sides.select("row", "a", "b").unionByName(sides.select(F.col("other").alias("row"), F.col("oa").alias("a"), F.col("ob").alias("b"))).distinct()
-    wanted = materialize(wanted.groupBy(F.shiftright("row", ROW_BITS).alias("block")).agg(F.collect_list(F.struct("row", "a", "b")).alias("asked")), "wanted")
+    # each side's ranges are marked, so that the join moves no others
+    wanted = sides.select("row", "a", "b", F.lit(False).alias("answers")).unionByName(sides.select(F.col("other").alias("row"), F.col("oa").alias("a"), F.col("ob").alias("b"), F.lit(True).alias("answers"))).distinct()
+    wanted = materialize(wanted.groupBy(F.shiftright("row", ROW_BITS).alias("block")).agg(F.collect_list(F.struct("row", "a", "b", "answers")).alias("asked")), "wanted")
+    release(blocks.sparkSession)  # the exchanges of links
     ranges = materialize(join_small(blocks, wanted, ["block"], "inner", 1, estimated_bytes(wanted)).mapInArrow(_fetcher(), _RANGES), "ranges")
-    x = ranges.select("row", "a", "b", "doc_id", "base", F.col("from").alias("x_from"), F.col("elements").alias("x"))
-    y = ranges.select(F.col("row").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("doc_id").alias("o_doc_id"), F.col("base").alias("o_base"), F.col("from").alias("y_from"), F.col("elements").alias("y"))
+    x = ranges.filter("not answers").select("row", "a", "b", "doc_id", "base", F.col("from").alias("x_from"), F.col("elements").alias("x"))
+    y = ranges.filter("answers").select(F.col("row").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("doc_id").alias("o_doc_id"), F.col("base").alias("o_base"), F.col("from").alias("y_from"), F.col("elements").alias("y"))
     return sides.join(x, ["row", "a", "b"]).join(y, ["other", "oa", "ob"]).mapInArrow(_verifier(span, least), _PAIRS + _OUT)
 
 

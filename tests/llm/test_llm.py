@@ -661,6 +661,49 @@ def test_sketches_rule_out_most_that_a_line_brings_together_and_no_passage(spark
     assert asked[1] < 400, asked  # of thousands that meet in a signature
 
 
+def test_bytes_rule_out_what_a_long_line_brings_together_and_no_passage(spark, monkeypatch):
+    rng = random.Random(31)
+    words = [f"v{i}" for i in range(3000)]
+    line = [rng.choice(words) for _ in range(34)]  # shorter than a passage, longer than a sketch's piece, in all texts
+    texts = [" ".join([rng.choice(words) for _ in range(60)] + line + [rng.choice(words) for _ in range(60)]) for _ in range(120)]
+    for k in range(0, 40, 2):
+        own = texts[k].split()
+        own[50] = "edited"
+        own[rng.choice([100, 110])] = "too"
+        texts[k + 1] = " ".join(own)
+    d = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 8), "doc_id long, text string")
+    asked, across = [], compact_windows._across
+    monkeypatch.setattr(compact_windows, "_across", lambda blocks, links, *more: across(blocks, asked.append(links.count()) or links, *more))
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in compact_windows.passages(d).collect()}
+    assert got <= brute_passages(texts) and sum((k, k + 1) in got for k in range(0, 40, 2)) >= 19
+    assert asked[1] < 200, asked  # of thousands that sketches alone leave
+
+
+def test_what_may_verify_leaves_sketches_and_bytes_leave():
+    rng = random.Random(37)
+    base = [rng.choice(range(3000)) for _ in range(260)]
+    texts = []
+    for edits in (0, 1, 2, 4, 8, 20):
+        for cut in (0, 7, 150):
+            own = [*base[cut:]]
+            for k in rng.sample(range(len(own)), edits):
+                own[k : k + rng.choice([0, 1])] = [rng.choice(range(3000))]
+            texts.append(" ".join(map(str, own)).encode())
+    e, own = compact_windows.block_elements(texts)
+    offset = np.searchsorted(own, np.arange(len(texts) + 1))
+    _, text, at, _, _ = compact_windows._block_windows(e, own, len(texts), 46, 6)
+    about = compact_windows.abouts(e, offset, text, at, 46)
+    asking, answering = compact_windows.sketches(about, 46)
+    x, y = (z.ravel() for z in np.meshgrid(np.arange(len(at)), np.arange(len(at))))
+    some = np.random.default_rng(1).choice(len(x), 20_000, replace=False)
+    x, y = x[some], y[some]
+    want = compact_windows.may_verify(e, offset, text, at, x, y, 46, 0.8)
+    assert 200 < want.sum() < len(want)
+    left = compact_windows.bytes_meet(about[x], about[y], 46, 0.8)
+    assert not (want & ~compact_windows.sketches_meet(asking, answering, 46, 0.8)[x, y]).any()
+    assert not (want & ~left).any() and (left & ~want).sum() < 0.02 * len(want)
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = random.Random(13)
     for _ in range(400):
