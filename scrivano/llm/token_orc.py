@@ -7,9 +7,9 @@ in the whole sequence is its offset plus the ids of the parts before, which need
 in parallel and skip row groups by doc_id.
 
 Ids come from the tokenizers library, called without options. Texts of Latin letters, digits and common marks are cut as its
-pre-tokenizer cuts them; its model encodes each piece once, and the ids are remembered in two generations of bounded size.
-Texts with other characters or with the content of an added token are encoded whole. Both give the ids of the whole text
-(tested).
+pre-tokenizer cuts them, in arrays over the bytes of many texts; of these texts' distinct pieces, its model encodes those that
+are not remembered, many in a call. The ids are remembered in two generations of bounded size. Texts with other characters or
+with the content of an added token are encoded whole. Both give the ids of the whole text (tested).
 
 Nulls, ties, repeats: a null text is empty and gets the end id only; null ids come first; rows alike in doc_id are ordered
 by a hash of the text; an empty table gives an empty file set and result; further columns are ignored.
@@ -20,9 +20,12 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,10 +33,61 @@ from pyspark.sql import functions as F
 from .common import new_path, parts_of, worker_cache
 
 MEMO = 300_000  # pieces of a generation
+CALL, GAP = 64, b"\0"  # new pieces of a call of the model, and what stands between them
+TOGETHER = 1 << 20  # bytes of the texts that are cut and looked up at once, one text at least
 _LETTER, _MARK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u20ac"
-#: The pre-tokenizer's pieces, for texts of these letters, marks, digits, spaces and line feeds.
-_PIECE = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|[ \n]+(?![^ \n])|[ \n]+"
-_ODD = rf"[^{_LETTER}{_MARK}0-9 \n]"
+_SPACE, _BREAK, _ODD = 3, 4, 5  # classes of characters: 0 to 2 are letters, digits and marks
+
+
+def _classes() -> np.ndarray:
+    """The class of each character below 65,536."""
+    out = np.full(1 << 16, _ODD, np.uint8)
+    for k, x in enumerate([_LETTER, "0-9", _MARK, " ", r"\n"]):
+        out[[ord(c) for c in re.findall(f"[{x}]", "".join(map(chr, range(0x2100))))]] = k
+    return out
+
+
+def _class_of_bytes(u: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The class of the character of each byte of valid UTF-8."""
+    c = classes[:256][u]
+    high = np.flatnonzero(u >= 0xC0)
+    lead = u[high]
+    c[u >= 0x80] = _ODD  # what has four bytes stays so
+    for least, most, more in ((0xC0, 0xDF, 1), (0xE0, 0xEF, 2)):
+        at = high[(lead >= least) & (lead <= most)]
+        code = (u[at] & (0x1F if more == 1 else 0x0F)).astype(np.int64)
+        for k in range(1, more + 1):
+            code = code << 6 | u[at + k] & 0x3F
+        for k in range(more + 1):
+            c[at + k] = classes[code]
+    return c
+
+
+def _cut(u: np.ndarray, c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces begin that the pre-tokenizer cuts from texts without odd characters. u: their bytes, one after the other;
+    c: the bytes' classes; first: where texts that are not empty begin.
+
+    Its rule: '(?:[sdmt]|ll|ve|re) | ?letters | ?digits | ?marks | white space but for the last before other things | white space."""
+    n = len(u)
+    white = c >= _SPACE
+    begins = np.zeros(n + 3, bool)
+    begins[1:n] = (c[1:] != c[:-1]) & (c[:-1] != _SPACE) & ~white[1:]
+    last = np.append(~white[1:], False)  # a white byte before something else
+    last[first[1:] - 1] = False
+    begins[1:n] |= white[1:] & (~white[:-1] | last[1:])
+    begins[first] = True
+    head = np.ones(n + 3, bool)
+    head[:n] = False
+    head[first] = True
+    v = np.append(u, np.zeros(3, np.uint8))
+    q = np.flatnonzero((u == ord("'")) & begins[:n])
+    x, y = v[q + 1], v[q + 2]
+    one = np.isin(x, np.frombuffer(b"sdmt", np.uint8)) & ~head[q + 1]
+    two = ((x == ord("l")) & (y == ord("l")) | np.isin(x, np.frombuffer(b"vr", np.uint8)) & (y == ord("e"))) & ~head[q + 1] & ~head[q + 2]
+    begins[q[one | two] + 1] = False
+    begins[q[one] + 2] = True
+    begins[q[two] + 3] = True
+    return np.flatnonzero(begins[:n])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,23 +97,64 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Pieces(dict):
-    """Ids of pieces, as bytes. What was not asked for while MEMO other pieces came is forgotten."""
-
-    def __init__(self, model):
-        self.model = model
-        self.before: dict[str, bytes] = {}
-        self.letters = _byte_letters()
-
-    def __missing__(self, x: str) -> bytes:
-        ids = self.before.get(x)
-        if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        if len(self) >= MEMO:
-            self.before = dict(self)
-            self.clear()
-        self[x] = ids
-        return ids
+class Pieces:
+    """Ids of pieces, as bytes. What was not asked for while MEMO other pieces came is forgotten.
+
+    New pieces go to the model CALL at a time, with GAP between them: no merge has GAP's letter and no piece has GAP, so that
+    merges stay inside pieces. Models that could do otherwise get piece by piece."""
+
+    def __init__(self, tokenizer):
+        from tokenizers import models
+
+        self.model = m = tokenizer.model
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        letters = _byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
+        gap = letters[GAP[0]]
+        self.gap = tokenizer.token_to_id(gap)
+        plain = isinstance(m, models.BPE) and not (m.dropout or m.ignore_merges or m.continuing_subword_prefix or m.end_of_word_suffix)
+        self.call = CALL if plain and self.gap is not None and not any(gap in x and x != gap for x in tokenizer.get_vocab()) else 1
+
+    def _ids(self, some: list[bytes]) -> np.ndarray:
+        return np.array([t.id for t in self.model.tokenize(charmap_decode(GAP.join(some), "strict", self.letters)[0])], "<u4")
+
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        if self.call == 1:
+            return [self._ids([x]).tobytes() for x in new]
+        out = []
+        for k in range(0, len(new), self.call):
+            ids = self._ids(new[k : k + self.call])
+            ends, raw = (4 * np.flatnonzero(ids == self.gap)).tolist(), ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
+        return out
+
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of the pieces, which are distinct."""
+        out = list(map(self.now.get, pieces))
+        lacking = [k for k, ids in enumerate(out) if ids is None]
+        new = []
+        for k in lacking:
+            out[k] = self.before.get(pieces[k])
+            if out[k] is None:
+                new.append(k)
+        for k, ids in zip(new, self._learn([pieces[k] for k in new]), strict=True):
+            out[k] = ids
+        for k in lacking:
+            if len(self.now) >= MEMO:
+                self.before, self.now = self.now, {}
+            self.now[pieces[k]] = out[k]
+        return out
+
+
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of TOGETHER bytes, the last row's rest on top; the last range may have fewer."""
+    at = size = 0
+    for k, n in enumerate(sizes, 1):
+        size += n
+        if size >= TOGETHER or k == len(sizes):
+            yield at, k
+            at, size = k, 0
 
 
 class Encoder:
@@ -67,15 +162,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Pieces(self.tokenizer.model)
-        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([_ODD, *added])).search
-        self.cut = re.compile(_PIECE).findall
-
-    def encode(self, text: str) -> bytes:
-        if self.odd(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+        self.pieces = Pieces(self.tokenizer)
+        self.classes = _classes()
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _cut_and_look_up(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts that are not empty."""
+        data = b"".join(texts)
+        u = np.frombuffer(data, np.uint8)
+        c = _class_of_bytes(u, self.classes)
+        bounds = np.cumsum([0, *map(len, texts)])
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(bounds, np.flatnonzero(c == _ODD), "right") - 1] = True
+        if any(x in data for x in self.added):
+            odd |= [any(x in t for x in self.added) for t in texts]
+        if odd.any():
+            rest = iter(self.encode([t for t, o in zip(texts, odd, strict=True) if not o]))
+            return [self._whole(t) if o else next(rest) for t, o in zip(texts, odd, strict=True)]
+        at = _cut(u, c, bounds[:-1])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(u))), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self.pieces.of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pieces.indices)
+        off = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(at, bounds)].tolist()
+        raw = memoryview(ids.buffers()[2])
+        return [bytes(raw[i:j]) for i, j in zip(off[:-1], off[1:], strict=True)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out = [b""] * len(texts)
+        for i, j in _groups(list(map(len, texts))):
+            if some := [k for k in range(i, j) if texts[k]]:
+                for k, ids in zip(some, self._cut_and_look_up([texts[k] for k in some]), strict=True):
+                    out[k] = ids
+        return out
 
 
 def encode_texts(texts: list[str | None], tokenizer: str) -> list[bytes]:
@@ -83,18 +203,17 @@ def encode_texts(texts: list[str | None], tokenizer: str) -> list[bytes]:
     ready = worker_cache("tokenizers")
     if tokenizer not in ready:
         ready[tokenizer] = Encoder(tokenizer)
-    encode = ready[tokenizer].encode
-    return [encode(t) if t else b"" for t in texts]
+    return ready[tokenizer].encode([(t or "").encode() for t in texts])
 
 
-def _encoder(tokenizer: str, end_id: int, rows: int = 64):
+def _encoder(tokenizer: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                some = batch.slice(k, rows)
+            for i, j in _groups(pc.binary_length(batch.column("text")).fill_null(0).to_pylist()):
+                some = batch.slice(i, j - i)
                 codes = [c + end for c in encode_texts(some.column("text").to_pylist(), tokenizer)]
                 n = np.array([len(c) // 4 for c in codes], np.int64)
                 off = at + np.cumsum(n) - n

@@ -241,6 +241,49 @@ def test_piecewise_encoding_equals_whole():
     assert token_orc.encode_texts(texts, path) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_new_pieces_share_calls_of_the_model():
+    path = tokenizer()
+    token_orc.encode_texts(["x"], path)
+    pieces = token_orc.worker_cache("tokenizers")[path].pieces
+    rng, model, calls = random.Random(5), pieces.model, []
+
+    class Counted:
+        def tokenize(self, x):
+            calls.append(x)
+            return model.tokenize(x)
+
+    words = ["".join(rng.choice("abdeghilnorstuéñü") for _ in range(12)) for _ in range(3000)]
+    pieces.model = Counted()
+    try:
+        got = token_orc.encode_texts([" ".join(words[k : k + 100]) for k in range(0, 3000, 100)] * 2, path)
+    finally:
+        pieces.model = model
+    assert got[:30] == got[30:] and 0 < len(calls) <= 100, len(calls)
+
+
+@pytest.mark.parametrize("ignore_merges", [False, True])
+def test_cutting_in_arrays_equals_whole(tmp_path, monkeypatch, ignore_merges):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["ignore_merges"] = ignore_merges  # such a model takes a piece that it knows as it is, so only piece by piece
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    tok = Tokenizer.from_file(path)
+    assert (token_orc.Encoder(path).pieces.call == 1) == ignore_merges
+    monkeypatch.setattr(token_orc, "MEMO", 50)  # so that pieces are forgotten all the time
+    monkeypatch.setattr(token_orc, "TOGETHER", 400)
+    rng = random.Random(3)
+    plain = ["a", "the", " ", "  ", "\n", " \n", "\n ", "'s", "'", "l", "'ll", "'ve", "'re", "'v", "'d", "e", "S", "'M", "é", "ÿ", "Ā", "ɏ", "×", "÷", "€", "…", "‐", "12", "x.", ",", "!!", "word"]
+    odd = [*plain, "\0", "\t", "\r\n", "<|endoftext|>", "\u00a0", "\u00aa", "\u00ad", "\u00b2", "\u0250", "\u20ad", "\u3000", "漢", "न", "😀"]
+    texts = ["".join(rng.choice(odd if k % 7 == 0 else plain) for _ in range(rng.randint(0, 16))) for k in range(3000)]
+    assert token_orc.encode_texts([*texts, None], path) == [*(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts), b""]
+
+
 def test_orc_has_bloom_filters_and_lookups_skip_row_groups(spark, tmp_path):
     where = f"file://{tmp_path}/t"
     d = spark.range(6000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
