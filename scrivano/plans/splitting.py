@@ -249,7 +249,7 @@ _LITERALS = [
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{a}', '{b}')" for o, a, b in _LITERALS) + ") v(op, input, output)")
 def tibetan_literals(spark, sf_dir):
     x = F.col("input")
-    s, t = F.split(x, "\\|")[0], F.split(x, "\\|")[1]
+    s, t = (F.get(F.split(x, "\\|"), F.lit(i)) for i in (0, 1))  # a class has an Arrow function, which is evaluated for all rows
     out = F.lit(None).cast("string")
     for op, value in {
         "normalize": X.normalize(x), "segments": F.array_join(X.segments(x), "|"), "debris": X.strip_leading_debris(x), "brackets": X.strip_brackets(x), "ornaments": X.strip_ornaments(x), "latin": X.strip_latin(x),
