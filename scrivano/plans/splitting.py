@@ -64,7 +64,7 @@ def resplit_pages(spark, sf_dir):
 )
 def resplit_pairs(spark, sf_dir):
     t = pairs(spark, sf_dir)
-    return splits.resplit_pairs(P.categorize(t.filter("not identical"), LATIN), _previous(t)).select("row_id", "split")
+    return splits.resplit_pairs(P.categorize(t.filter("not identical"), LATIN), _previous(t), keep=("row_id",)).select("row_id", "split")
 
 
 @query(
@@ -90,17 +90,17 @@ derived AS (SELECT dens.*, CASE WHEN density <= 0 THEN 'clean' WHEN density <= l
 
 @query(PAIRS_SQL + CLASS_SQL + _DERIVED + ONE + 'SELECT row_id, density, error_type, density_bin, grp AS "group" FROM derived')
 def derive_density(spark, sf_dir):
-    return splits.derive(_merged(spark, sf_dir)).select("row_id", "density", "error_type", "density_bin", "group")
+    return splits.derive(_merged(spark, sf_dir), ("row_id", "source_corpus")).select("row_id", "density", "error_type", "density_bin", "group")
 
 
 @query(PAIRS_SQL + CLASS_SQL + _DERIVED + ONE + "SELECT source_corpus, density_bin, count(*) AS n, count(*) < 30 AS thin FROM derived GROUP BY 1, 2")
 def density_crosstab(spark, sf_dir):
-    return splits.crosstab(splits.derive(_merged(spark, sf_dir)), "density_bin")
+    return splits.crosstab(splits.derive(_merged(spark, sf_dir), ("row_id", "source_corpus")), "density_bin")
 
 
 @query(PAIRS_SQL + CLASS_SQL + _DERIVED + ONE + "SELECT source_corpus, median(density) FILTER (density > 0) AS median, avg(density) FILTER (density > 0) AS mean, count(*) AS n FROM derived GROUP BY 1")
 def density_by_source(spark, sf_dir):
-    return report.density_by_source(splits.derive(_merged(spark, sf_dir)))
+    return report.density_by_source(splits.derive(_merged(spark, sf_dir), ("row_id", "source_corpus")))
 
 
 @query(
@@ -114,7 +114,7 @@ q AS (SELECT grp, row_number() OVER (ORDER BY md5('43:' || grp), grp) - 1 < ceil
 SELECT derived.row_id, derived.grp AS "group", CASE WHEN q.grp IS NULL THEN 'train' WHEN is_test THEN 'test' ELSE 'val' END AS split FROM derived LEFT JOIN q ON q.grp = derived.grp"""
 )
 def stratified_split(spark, sf_dir):
-    return splits.stratified_split(splits.derive(_merged(spark, sf_dir))).select("row_id", "group", "split")
+    return splits.stratified_split(splits.derive(_merged(spark, sf_dir), ("row_id", "source_corpus"))).select("row_id", "group", "split")
 
 
 @query(PAIRS_SQL + ONE + "SELECT row_id, source, target FROM pairs WHERE identical ORDER BY md5('42:' || row_id), row_id LIMIT 50")

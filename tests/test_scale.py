@@ -73,3 +73,23 @@ def test_long_sentences_are_classified_in_time(spark):
     got = {r.k: (r.diff_category, r.edit_distance) for r in pairs.categorize(spark.createDataFrame(rows, "k int, source string, target string"), LATIN).collect()}
     assert got == {1: ("single_char_substitution", 1), 2: ("large_rewrite", long[:50_000].count("r") + long[:50_000].count("m"))}
     assert time.time() - began < 40
+
+
+def test_split_queries_read_pairs_once(spark, tmp_path, monkeypatch):
+    """Bins, strata and inherited splits need the pairs several times; they are computed once and then read."""
+    from scrivano.plans import splitting
+
+    for name in ("derive_density", "density_crosstab", "density_by_source", "stratified_split", "resplit_pairs"):
+        plan = plan_of(getattr(splitting, name)(spark, SF))
+        assert "documents.parquet" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_ranks_in_groups(spark):
+    from pyspark.sql import Window
+    from scrivano.operators import rank
+
+    t = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("g"))
+    w = Window.partitionBy("g")
+    want = t.withColumn("r", F.row_number().over(w.orderBy(rank.hashed(F.col("key"), 7), "key")) - 1).withColumn("total", F.count("key").over(w))
+    got = rank.global_rank(t, "key", 7, "r", ("g",))
+    assert {(x.key, x.r, x.total) for x in got.collect()} == {(x.key, x.r, x.total) for x in want.collect()}
