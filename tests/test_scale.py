@@ -93,3 +93,41 @@ def test_ranks_in_groups(spark):
     want = t.withColumn("r", F.row_number().over(w.orderBy(rank.hashed(F.col("key"), 7), "key")) - 1).withColumn("total", F.count("key").over(w))
     got = rank.global_rank(t, "key", 7, "r", ("g",))
     assert {(x.key, x.r, x.total) for x in got.collect()} == {(x.key, x.r, x.total) for x in want.collect()}
+
+
+def test_near_matcher_equals_difflib():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+
+    def changed(s):
+        for _ in range(rng.randint(0, 3)):
+            p = rng.randint(0, len(s))
+            s = rng.choice((s[:p] + "q" + s[p + 1 :], s[:p] + s[p + 1 :], s[:p] + "zq" + s[p:]))
+        return s
+
+    for _ in range(1500):
+        letters = rng.choice(("ab", "abcdefgh ", "etaoin shrdlucmfwyp "))
+        a = "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 3, 10, 77, 150, 199, 230))))
+        a = (a[:7] * 40)[: rng.randint(1, 260)] if rng.random() < 0.2 else a
+        b = changed(a) if rng.random() < 0.8 else "".join(rng.choice(letters) for _ in range(60))
+        for junk in (True, False):
+            want, got = SequenceMatcher(None, a, b, autojunk=junk), udfs.Near(a, b, autojunk=junk)
+            assert want.get_matching_blocks() == got.get_matching_blocks() and want.get_opcodes() == got.get_opcodes() and want.ratio() == got.ratio()
+
+
+def test_near_texts_are_not_left_to_difflib(monkeypatch):
+    from difflib import SequenceMatcher
+
+    s = "the quick brown fox jumps over the lazy dog and does not come back before the night falls"
+    monkeypatch.setattr(SequenceMatcher, "set_seq2", None)  # where letters are counted
+    for t in (s, s[:30] + "x" + s[31:], s[:50] + s[51:], s[:10] + "zq" + s[10:]):
+        assert udfs.ratio(s, t) > 0.9
+    assert udfs.greedy([s, "another sentence of like length that has few letters in common with it, zzzz wwww"], [s, s[::-1]])[0]["similarity"] == 1.0
+
+
+def test_process_reads_pages_once(spark):
+    from scrivano.plans import curation
+
+    plan = plan_of(curation.process_pages(spark, SF))
+    assert "documents.parquet" not in plan and "boundary_transfer" not in plan
