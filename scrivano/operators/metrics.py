@@ -7,31 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.profile import TIBETAN, ScriptProfile
 from ..functions.text import cer, metric_syllables
+from ..functions.udfs import token_scores
 
 
 def prf(df: DataFrame, keys: list[str], predicted, target) -> DataFrame:
     """keys (unique) with precision, recall and f1 of two token arrays: place by place, classes weighted by gold support, the
     shorter padded with empty tokens. Two empty arrays give nulls."""
-    rows = df.select(*keys, predicted.alias("p"), target.alias("t")).withColumn("n", F.greatest(F.size("p"), F.size("t")))
-
-    def padded(name: str):
-        return F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.get(name, i), F.lit("")))).otherwise(F.array().cast("array<string>"))
-
-    rows = rows.select(*keys, "n", padded("p").alias("p"), padded("t").alias("t"))
-    hits = F.zip_with("p", "t", lambda x, y: F.when(x == y, y))  # nulls where they differ
-
-    def count(array, token):
-        return F.size(F.filter(array, lambda x: x == token))
-
-    # within the row; classes without gold support weigh nothing
-    rows = rows.withColumn("hits", hits).withColumn("classes", F.transform(F.array_distinct("t"), lambda c: F.struct(count("t", c).alias("sup"), count("p", c).alias("pred"), count("hits", c).alias("tp"))))
-
-    def total(value):
-        return F.when(F.col("n") > 0, F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + value(c)))
-
-    precision = total(lambda c: F.when(c["pred"] > 0, c["sup"] / F.col("n") * c["tp"] / c["pred"]).otherwise(F.lit(0.0)))
-    f1 = total(lambda c: c["sup"] / F.col("n") * 2 * c["tp"] / (c["sup"] + c["pred"]))
-    return rows.select(*keys, precision.alias("precision"), total(lambda c: c["tp"] / F.col("n")).alias("recall"), f1.alias("f1"))
+    return df.select(*keys, token_scores(predicted, target).alias("m")).select(*keys, "m.precision", "m.recall", "m.f1")
 
 
 def evaluate(predictions: DataFrame, category: str, keys: list[str], profile: ScriptProfile = TIBETAN, predicted: str = "prediction", target: str = "target") -> DataFrame:
