@@ -150,3 +150,14 @@ def test_changed_chars_are_those_that_differ(spark):
     t = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for _ in range(200)]
     for r in spark.createDataFrame(t, "a string, b string").select("a", "b", udfs.changed_chars("a", "b").alias("c")).collect():
         assert [tuple(x) for x in r.c] == [x for x in udfs.aligned(r.a, r.b) if x[0] != x[1]]
+
+
+def test_popular_known_words_are_not_moved(spark):
+    from scrivano.operators import lexicon
+
+    t = spark.createDataFrame([(1, "a b"), (2, "a x"), (3, "a a"), (4, ""), (5, "b  c"), (6, "y y")], "k int, target string")
+    words = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "word string")
+    for popular in (1, 3, 100_000):
+        got = lexicon.in_dictionary(t, words, X.syllables(F.col("target"), LATIN), "k", popular)
+        assert sorted(r.k for r in got.collect()) == [1, 3, 4, 5]
+    assert plan_of(got).count("BroadcastExchange") >= 1 and "words-" in plan_of(got)
