@@ -161,3 +161,16 @@ def test_popular_known_words_are_not_moved(spark):
         got = lexicon.in_dictionary(t, words, X.syllables(F.col("target"), LATIN), "k", popular)
         assert sorted(r.k for r in got.collect()) == [1, 3, 4, 5]
     assert plan_of(got).count("BroadcastExchange") >= 1 and "words-" in plan_of(got)
+
+
+def test_nearest_equals_brute_force(spark):
+    from scrivano.operators import lexicon
+
+    rng = random.Random(11)
+    base = {"".join(rng.choice("abcd") for _ in range(rng.randint(0, 24))) for _ in range(60)} | {"lorem " * 300}
+    asked = {"".join(rng.choice("abcd") for _ in range(rng.randint(0, 24))) for _ in range(60)} | {"lorem " * 200 + "x" + "lorem " * 100, "zzzz" * 9} | set(list(base)[:5])
+    q, b = (spark.createDataFrame([(x,) for x in t], "source string") for t in (asked, base))
+    for most in (2, 5):
+        got = {r.source: r.distance for r in lexicon.nearest(q, b, most).collect()}
+        want = {x: min((d for y in base if abs(len(x) - len(y)) <= most and (d := brute_edits(x, y)) <= most), default=999) for x in asked}
+        assert got == want
