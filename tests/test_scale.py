@@ -174,3 +174,12 @@ def test_nearest_equals_brute_force(spark):
         got = {r.source: r.distance for r in lexicon.nearest(q, b, most).collect()}
         want = {x: min((d for y in base if abs(len(x) - len(y)) <= most and (d := brute_edits(x, y)) <= most), default=999) for x in asked}
         assert got == want
+
+
+def test_an_edit_changes_two_bits_at_most():
+    rng = random.Random(12)
+    for _ in range(500):
+        a = "".join(rng.choice("abcü ") for _ in range(rng.randint(1, 20)))
+        p = rng.randrange(len(a))
+        for b, most in ((a[:p] + "x" + a[p + 1 :], 2), (a[:p] + a[p + 1 :], 1), (a[:p] + "c" + a[p:], 1)):
+            assert ((udfs.letter_bits(a) ^ udfs.letter_bits(b)) & ((1 << 64) - 1)).bit_count() <= most
