@@ -84,5 +84,9 @@ def synthesize(sentences: DataFrame, n: int, seed: int = 42, homophones=None, ve
     fine = F.forall(F.array_except("c.syllables", "syl"), lambda x: (x == "") | (check or C.well_formed)(x))
     why = F.when(F.size("c.syllables") == 0, "no_change").when(F.col("source") == F.array_join("syl", joint), "identical").when(~fine, "malformed")
     t = t.select("source", "target", F.col("c.type").alias("corruption_type"), "source_corpus", F.concat_ws(":", "source_corpus", F.substring(F.md5("target"), 1, 12)).alias("source_sentence_id"), why.alias("reject_reason"))
-    w = Window.partitionBy("source_corpus", F.col("reject_reason").isNull()).orderBy(F.xxhash64(F.lit(seed), F.lit("order"), F.col("target")), "target")
-    return t.withColumn("k", F.row_number().over(w)).filter(F.col("reject_reason").isNotNull() | (F.col("k") <= n)).drop("k")
+    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col("target")), "target"
+    gone, part = F.col("reject_reason").isNotNull(), F.pmod(F.xxhash64("target"), F.lit(256))
+    for share in (part, F.when(gone, part)):  # the first n of parts of a corpus, then of those of all parts
+        w = Window.partitionBy("source_corpus", gone, share).orderBy(*order)
+        t = t.withColumn("k", F.row_number().over(w)).filter(gone | (F.col("k") <= n)).drop("k")
+    return t

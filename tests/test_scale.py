@@ -183,3 +183,15 @@ def test_an_edit_changes_two_bits_at_most():
         p = rng.randrange(len(a))
         for b, most in ((a[:p] + "x" + a[p + 1 :], 2), (a[:p] + a[p + 1 :], 1), (a[:p] + "c" + a[p:], 1)):
             assert ((udfs.letter_bits(a) ^ udfs.letter_bits(b)) & ((1 << 64) - 1)).bit_count() <= most
+
+
+def test_synthesis_ranks_a_corpus_in_parts(spark):
+    from scrivano.operators import merge
+
+    t = spark.createDataFrame([("c", f"ab{i} cd{i} ef{i}") for i in range(2000)] + [("d", "xy zw")], "source_corpus string, sentence string")
+    few, all_ = (merge.synthesize(t, n, 42, p=LATIN, check=lambda x: x.rlike("^[ -~]+$")) for n in (30, 10_000))
+    assert plan_of(few).count("Window [") == 2
+    key = F.xxhash64(F.lit(42), F.lit("order"), F.col("target"))
+    want = [r.target for r in all_.filter("reject_reason is null and source_corpus = 'c'").orderBy(key, "target").limit(30).collect()]
+    assert sorted(want) == sorted(r.target for r in few.filter("reject_reason is null and source_corpus = 'c'").collect())
+    assert few.filter("reject_reason is not null").count() == all_.filter("reject_reason is not null").count()
